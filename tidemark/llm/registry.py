@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.op1_secrets,
+        "op3_pack": packing.op3_pack,
         "op5_decontaminate": decontaminate.op5_decontaminate,
     }
 
