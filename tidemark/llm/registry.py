@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets
+from . import decontaminate, licenses, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1_secrets,
         "op3_pack": packing.op3_pack,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_licenses": licenses.op6_licenses,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontaminate": decontaminate.OP5_SQL,
+        "op6_licenses": licenses.OP6_SQL,
     }
