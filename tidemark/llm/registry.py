@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, secrets, toxicity
+from . import decontaminate, jaccard, licenses, packing, pii, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op3_pack": packing.op3_pack,
+        "op4_pii": pii.op4_pii,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_licenses": licenses.op6_licenses,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op6_licenses": licenses.OP6_SQL,
+        "op8_jaccard_join": jaccard.OP8_SQL,
     }
