@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licenses, packing, pii, secrets, toxicity
+from . import decontaminate, html, jaccard, licenses, lm, packing, pii, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_html": html.op2_html,
         "op3_pack": packing.op3_pack,
         "op4_pii": pii.op4_pii,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_licenses": licenses.op6_licenses,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
+        "op9_lm": lm.op9_lm,
     }
 
 
