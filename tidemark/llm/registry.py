@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, licenses, lm, packing, pii, secrets, toxicity
+from . import decontaminate, html, jaccard, licenses, lm, media, packing, pii, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_lm": lm.op9_lm,
+        "op10_media": media.op10_media,
     }
 
 
