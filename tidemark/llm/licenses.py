@@ -29,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower, table
+from .common import GAP_PATTERN, WORD_PATTERN, ascii_lower, pieces, table
 
 THRESHOLD = 0.9
 
@@ -72,7 +72,7 @@ def needed(size: int, threshold: float) -> int:
 
 
 def words_of(text) -> F.Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    return pieces(ascii_lower(F.coalesce(text, F.lit(""))), GAP_PATTERN)
 
 
 def literal(tokens) -> F.Column:
