@@ -84,15 +84,18 @@ def noise(key: str, tag, *parts) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tag, *parts), 256), 1, 15), 16, 10).cast("long")
 
 
+def half_round(key: str, tag, i: int, left_size: Column, right_size: Column):
+    """Round i, as a function of the pair; what a lambda is called with is counted, so it takes no more."""
+    if i % 2:
+        return lambda v: F.struct(F.pmod(v["l"] + noise(key, tag, F.lit(i), v["r"]), left_size).alias("l"), v["r"].alias("r"))
+    return lambda v: F.struct(v["l"].alias("l"), F.pmod(v["r"] + noise(key, tag, F.lit(i), v["l"]), right_size).alias("r"))
+
+
 def feistel(key: str, tag, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
     """A permutation of pairs below (left_size, right_size)."""
     state = F.struct(left.alias("l"), right.alias("r"))
     for i in range(ROUNDS):
-        if i % 2:
-            step = lambda v, i=i: F.struct(F.pmod(v["l"] + noise(key, tag, F.lit(i), v["r"]), left_size).alias("l"), v["r"].alias("r"))
-        else:
-            step = lambda v, i=i: F.struct(v["l"].alias("l"), F.pmod(v["r"] + noise(key, tag, F.lit(i), v["l"]), right_size).alias("r"))
-        state = let(state, step)
+        state = let(state, half_round(key, tag, i, left_size, right_size))
     return state
 
 
@@ -335,19 +338,21 @@ def replaced(key: str, text: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(gaps[0], F.array_join(pieces, ""))).otherwise(text)
 
 
-def replace(docs: DataFrame, *, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """The documents with every entity replaced; all columns stay."""
-    return docs.withColumn(text_col, replaced(settled_key(docs, key, text_col=text_col), F.col(text_col)))
+def replace(docs: DataFrame, *, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The documents with every entity replaced; all columns stay, and ``count_col`` is the new text's length."""
+    out = docs.withColumn(text_col, replaced(settled_key(docs, key, text_col=text_col), F.col(text_col)))
+    return out if count_col is None else out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = settled_key(docs, KEY)
     kinds = F.transform(entities(F.col("text")), kind_of)
+    of = lambda w: F.filter("kinds", lambda k: k == w)
     counts = docs.select("*", kinds.alias("kinds"))
     return counts.select(
         "doc_id",
         F.coalesce(F.size("kinds"), F.lit(0)).cast("long").alias("n_entities"),
-        *[F.size(F.filter("kinds", lambda k, w=w: k == w)).cast("long").alias(f"n_{w}") for w in KINDS],
+        *[F.coalesce(F.size(of(w)), F.lit(0)).cast("long").alias(f"n_{w}") for w in KINDS],
         replaced(key, F.col("text")).alias("text"),
     )
