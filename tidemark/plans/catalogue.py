@@ -348,7 +348,7 @@ def weighted_avg_multi(spark, d):
     return rollup.weighted_average(g).select((F.floor(F.col("weighted_avg") * 1000 + 0.5) / 1000).alias("weighted_avg"), "points")
 
 
-@query(f"SELECT min(a) AS min, max(b) AS max FROM (SELECT min(v) AS a, max(v) AS b FROM {LINEITEM} GROUP BY series)")
+@query(f"SELECT min(a) AS min, max(b) AS max FROM (SELECT min(v) AS a, max(v) AS b FROM {LINEITEM} WHERE t BETWEEN {LI_START} AND {LI_END} GROUP BY series)")
 def min_max_multi(spark, d):
     g = reads.aggregate(li(spark, d), LI_START, LI_END, ["min", "max"], by=["series"])
     return g.agg(F.min("min").alias("min"), F.max("max").alias("max"))

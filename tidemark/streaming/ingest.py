@@ -18,14 +18,14 @@ def ingest(points: DataFrame, root: str, checkpoint: str, trigger: dict | None =
     """Append a stream to root, partitioned by series; one folder for each batch, overwritten if the batch runs again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("series").parquet(f"{root}/batch-{number:012d}")
+        batch.write.mode("overwrite").partitionBy("series").parquet(f"{root}/batch={number}")
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def ingested(spark: SparkSession, root: str) -> DataFrame:
     schema = POINTS.fieldNames()
-    return spark.read.schema("timestamp bigint, value double, batch int, series string").parquet(f"{root}/batch-*").select(*schema)
+    return spark.read.schema("timestamp bigint, value double, batch bigint, series string").parquet(root).select(*schema)
 
 
 def windows(points: DataFrame, start: int, end: int, size: int) -> DataFrame:
