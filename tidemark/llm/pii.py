@@ -53,23 +53,32 @@ CLASSES = [
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 ]
 
-LEFT_EDGE, RIGHT_EDGE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+RIGHT_EDGE = r"(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
-PATTERN = "|".join(
+NUMBERS = "|".join(
     [
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-        rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])",
-        rf"{LEFT_EDGE}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{RIGHT_EDGE}",
-        rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}{RIGHT_EDGE}",
-        rf"{LEFT_EDGE}\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}{RIGHT_EDGE}",
-        rf"{LEFT_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{RIGHT_EDGE}",
-        rf"{LEFT_EDGE}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{RIGHT_EDGE}",
-        rf"{LEFT_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){RIGHT_EDGE}",
-        rf"{LEFT_EDGE}(?:{'|'.join(TITLES)})\.? {NAME_PART}(?: {NAME_PART})?",
-        rf"{LEFT_EDGE}(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {NAME_PART}",
+        rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])",
+        rf"(?<!\+)\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}{RIGHT_EDGE}",
+        rf"\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}{RIGHT_EDGE}",
+        rf"[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{RIGHT_EDGE}",
+        rf"[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}{RIGHT_EDGE}",
+        rf"(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){RIGHT_EDGE}",
     ]
 )
+CAPITALS = "|".join(
+    [
+        rf"[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{RIGHT_EDGE}",
+        rf"(?:{'|'.join(TITLES)})\.? {NAME_PART}(?: {NAME_PART})?",
+        rf"(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {NAME_PART}",
+    ]
+)
+#: All begin where no letter or digit stands before; the first character says which can follow.
+PATTERN = (
+    r"(?<![\p{L}\p{N}])(?:"
+    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+    rf"|(?=[0-9+(])(?:{NUMBERS})|(?=\p{{Lu}})(?:{CAPITALS}))"
+)
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "name")
 
 
@@ -295,14 +304,30 @@ def canonical(e: Column) -> Column:
     )
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+MARK = "\x01"
+PARTS = "tidemark pii parts"
+
+
+def parts_of(text: Column) -> Column:
+    """What stands between entities and the entities, in turn.
+
+    One pass of the pattern marks the entities; a text that holds the mark itself takes two.
+    """
+    quick = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
+    pairs = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, e: F.array(g, e)))
+    return F.when(~F.contains(text, F.lit(MARK)), quick).otherwise(F.concat(pairs, F.slice(gaps, -1, 1)))
+
+
+def entities_in(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 1)
 
 
 def collisions(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """Surrogates that stand for several entities, or that equal theirs: kind, surrogate, number of entities."""
     distinct = (
-        docs.select(F.explode(entities(F.col(text_col))).alias("e"))
+        docs.select(parts_of(F.col(text_col)).alias(PARTS))
+        .select(F.explode(entities_in(F.col(PARTS))).alias("e"))
         .groupBy("e")
         .agg(F.lit(1).alias("one"))
         .groupBy(kind_of(F.col("e")).alias("kind"), canonical(F.col("e")).alias("entity"))
@@ -329,13 +354,12 @@ def settled_key(docs: DataFrame, key: str, *, text_col: str = "text") -> str:
     return tried
 
 
+def joined(key: str, parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, surrogate(key, x)).otherwise(x)), "")
+
+
 def replaced(key: str, text: Column) -> Column:
-    found = entities(text)
-    gaps = F.split(text, PATTERN, -1)
-    pieces = F.zip_with(
-        F.transform(found, lambda e: surrogate(key, e)), F.slice(gaps, F.lit(2), F.size(found)), lambda s, g: F.concat(s, g)
-    )
-    return F.when(F.size(found) > 0, F.concat(gaps[0], F.array_join(pieces, ""))).otherwise(text)
+    return joined(key, parts_of(text))
 
 
 def replace(docs: DataFrame, *, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -347,12 +371,12 @@ def replace(docs: DataFrame, *, key: str = KEY, text_col: str = "text", count_co
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = settled_key(docs, KEY)
-    kinds = F.transform(entities(F.col("text")), kind_of)
+    parts = docs.select("doc_id", parts_of(F.col("text")).alias(PARTS))
+    rows = parts.select("doc_id", F.transform(entities_in(F.col(PARTS)), kind_of).alias("kinds"), joined(key, F.col(PARTS)).alias("text"))
     of = lambda w: F.filter("kinds", lambda k: k == w)
-    counts = docs.select("*", kinds.alias("kinds"))
-    return counts.select(
+    return rows.select(
         "doc_id",
         F.coalesce(F.size("kinds"), F.lit(0)).cast("long").alias("n_entities"),
         *[F.coalesce(F.size(of(w)), F.lit(0)).cast("long").alias(f"n_{w}") for w in KINDS],
-        replaced(key, F.col("text")).alias("text"),
+        "text",
     )
