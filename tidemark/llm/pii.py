@@ -76,7 +76,7 @@ CAPITALS = "|".join(
 #: All begin where no letter or digit stands before; the first character says which can follow.
 PATTERN = (
     r"(?<![\p{L}\p{N}])(?:"
-    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,30}\.\p{L}{2,}"
     rf"|(?=[0-9+(])(?:{NUMBERS})|(?=\p{{Lu}})(?:{CAPITALS}))"
 )
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "name")
