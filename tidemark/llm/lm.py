@@ -42,18 +42,18 @@ from .common import cut, slices, space_words, table
 HEAD = 100_000
 #: Longer words are never in the head, so that its size in bytes is bounded.
 HEAD_BYTES = 64
-GROUPS, CLASSES = 16, 16
+GROUPS, CLASSES = 8, 8
 LETTERS = 64
 TABLE = 1 << 14
-ROUNDS = 2
+ROUNDS = 1
 RATE = 0.6
-BATCH = 30_000
+BATCH = 50_000
 BLOCK = 8192
 HELD_OUT, FOLDS = 2, 7
 
 
 def is_training(id_col: str) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != HELD_OUT
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != HELD_OUT, F.lit(False))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -77,11 +77,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def letter_vector(word: bytes) -> np.ndarray:
+def letter_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed letter pairs of all words, one after another, and where each word's begin."""
+    b = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    pairs = (b[:-1] * 31 + b[1:] * 131) % LETTERS
+    keep = np.ones(len(pairs), bool)
+    keep[starts[1:] - 1] = False  # from the end of a word to the next one's start
+    return pairs[keep], starts - np.arange(len(words))
+
+
+def letter_vectors(words: list[bytes]) -> np.ndarray:
     """Counts of hashed letter pairs, of length one."""
-    b = np.frombuffer(b"^" + word + b"$", np.uint8).astype(np.int64)
-    v = np.bincount((b[:-1] * 31 + b[1:] * 131) % LETTERS, minlength=LETTERS).astype("f4")
-    return v / np.linalg.norm(v)
+    pairs, starts = letter_pairs(words)
+    owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(pairs))))
+    v = np.bincount(owner * LETTERS + pairs, minlength=len(words) * LETTERS).reshape(-1, LETTERS).astype("f4")
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def nearest(words: list[bytes], centre: np.ndarray) -> np.ndarray:
+    """The group of each word: its length does not change which centre is nearest."""
+    if not words:
+        return np.zeros(0, np.int64)
+    pairs, starts = letter_pairs(words)
+    return np.add.reduceat(np.ascontiguousarray(centre.T)[pairs], starts, axis=0).argmax(1)
 
 
 def centres(words: list[bytes], seed: int = 5, sample: int = 12_000, steps: int = 12) -> np.ndarray:
@@ -89,7 +109,7 @@ def centres(words: list[bytes], seed: int = 5, sample: int = 12_000, steps: int
     r = np.random.default_rng(seed)
     if not words:
         return r.normal(size=(GROUPS, LETTERS)).astype("f4")
-    x = np.array([letter_vector(w) for w in words[:sample]])
+    x = letter_vectors(words[:sample])
     c = x[r.integers(len(x), size=GROUPS)].copy()
     for _ in range(steps):
         own = (x @ c.T).argmax(1)
@@ -120,25 +140,23 @@ class Reader:
         self.at = {w: i for i, w in enumerate(model.words) if w is not None}
         self.end = len(model.words) - 1
         self.centre = model.centre
-        self.rare: dict[bytes, int] = {}
-
-    def rare_group(self, word: bytes) -> int:
-        g = self.rare.get(word)
-        if g is None:
-            if len(self.rare) > 300_000:
-                self.rare.clear()
-            g = self.rare[word] = int((self.centre @ letter_vector(word)).argmax())
-        return g
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Head place of each word, or head size + group; then the end."""
-        get, base, rare = self.at.get, self.end + 1, self.rare_group
-        out = [get(w, -1) for w in words]
-        for k, i in enumerate(out):
-            if i < 0:
-                out[k] = base + rare(words[k])
-        out.append(self.end)
-        return np.array(out, np.int64)
+
+    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """For each text the head place of each word, or head size + group; then the end."""
+        get = self.at.get
+        sizes = np.array([len(d) + 1 for d in docs])
+        ends = np.cumsum(sizes)
+        out = np.full(int(ends[-1]) if len(docs) else 0, self.end)
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = False
+        flat = [w for d in docs for w in d]
+        out[inner] = [get(w, -1) for w in flat]
+        far = np.flatnonzero(out < 0)
+        if len(far):
+            place = np.flatnonzero(inner)
+            back = np.searchsorted(place, far)
+            out[far] = self.end + 1 + nearest([flat[k] for k in back.tolist()], self.centre)
+        return np.split(out, ends[:-1])
 
 
 def contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,11 +178,6 @@ def hashed(one: np.ndarray, two: np.ndarray, salt) -> list[np.ndarray]:
         return [((x ^ salt) * a >> np.int64(40)) & mask for x in (one * a + 1, one * a + two * b + 2, two * b + 3)]
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
-
-
 class Tables:
     """Group and class of each token id, for both softmaxes."""
 
@@ -176,23 +189,25 @@ class Tables:
 
 
 def logits(weights: np.ndarray, bias: tuple, one, two, group) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For both softmaxes the scores, a row for each class, and the features' places."""
     f = hashed(one, two, 7)
-    yield bias[0] + weights[0][f[0]] + weights[0][f[1]] + weights[0][f[2]], f
+    yield (weights[0][f[0]] + weights[0][f[1]] + weights[0][f[2]] + bias[0]).T, f
     f = hashed(one, two, group + 11)
-    yield bias[1][group] + weights[1][f[0]] + weights[1][f[1]] + weights[1][f[2]], f
+    yield (weights[1][f[0]] + weights[1][f[1]] + weights[1][f[2]] + bias[1][group]).T, f
 
 
 def learn(weights: np.ndarray, bias: tuple, tables: Tables, tokens, one, two) -> None:
     """One gradient step, in place: each row moves by its mean gradient, damped while it is rare."""
     group = tables.group[tokens]
     for level, (z, f) in enumerate(logits(weights, bias, one, two, group)):
-        target = group if level == 0 else tables.cls[tokens]
-        d = softmax(z)
-        d[np.arange(len(d)), target] -= 1
+        d = np.exp(z - z.max(0))
+        d /= d.sum(0)
+        d[group if level == 0 else tables.cls[tokens], np.arange(d.shape[1])] -= 1
+        d = np.ascontiguousarray(d, "f8")
         for rows in f:
-            n = np.bincount(rows, minlength=TABLE).astype("f4") + 4.0
+            rate = RATE / (np.bincount(rows, minlength=TABLE) + 4.0)
             for k in range(GROUPS):
-                weights[level][:, k] -= RATE * np.bincount(rows, d[:, k], TABLE) / n
+                weights[level][:, k] -= rate * np.bincount(rows, d[k], TABLE)
 
 
 def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.ndarray:
@@ -216,11 +231,11 @@ def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.nd
 
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    held.append(reader.ids(space_words(text)))
-                    size += len(held[-1])
-                    if size >= BATCH:
-                        step()
+                some = reader.ids([space_words(text) for text in part.column(0).to_pylist()])
+                held += some
+                size += sum(map(len, some))
+                if size >= BATCH:
+                    step()
         step()
         if seen:
             change = ((w - shipped.value) * seen).astype("f4").ravel()
@@ -266,7 +281,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     rows.sort(key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in rows]
     centre = centres(words)
-    group = (np.array([letter_vector(w) for w in words]).reshape(-1, LETTERS) @ centre.T).argmax(1) if words else np.zeros(0, np.int64)
+    group = nearest(words, centre)
     n = np.array([r.c for r in rows] + [n_docs], np.int64)
     group = np.append(group, 0)
     cls = np.zeros(len(n), np.int64)
@@ -281,8 +296,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4096):
-                v = np.array([letter_vector(w) for w in part.column(0).to_pylist()])
-                g = (v @ shipped_centre.value.T).argmax(1)
+                g = nearest(part.column(0).to_pylist(), shipped_centre.value)
                 sums = np.bincount(g, part.column(1).to_numpy() + 1.0, GROUPS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS)), pa.array(sums)], names=["g", "z"])
 
@@ -312,9 +326,9 @@ def class_log10(model: Model, tables: Tables, docs: list[np.ndarray]) -> np.ndar
         group = tables.group[t]
         rows = np.arange(len(t))
         for level, (z, _) in enumerate(logits(model.weights, model.bias, a, b, group)):
-            top = z.max(1)
-            lse = np.log(np.exp(z - top[:, None]).sum(1)) + top
-            out[at : at + BATCH] += z[rows, group if level == 0 else tables.cls[t]] - lse
+            top = z.max(0)
+            lse = np.log(np.exp(z - top).sum(0)) + top
+            out[at : at + BATCH] += z[group if level == 0 else tables.cls[t], rows] - lse
     return out / math.log(10)
 
 
@@ -322,7 +336,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
     """One row for each document row: tokens, known tokens, log10 chance by counts alone and by the model."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -332,13 +345,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
         known_end = int(m.counts[-1] > 0)
         for batch in batches:
             for part in slices(batch, 256):
-                docs, rare = [], []
-                for text in part.column(1).to_pylist():
-                    words = space_words(text)
-                    ids = reader.ids(words)
-                    docs.append(ids)
-                    far = np.flatnonzero(ids > reader.end)
-                    rare.append([{"word": w, "n": n} for w, n in Counter(words[k] for k in far).items()])
+                words = [space_words(text) for text in part.column(1).to_pylist()]
+                docs = reader.ids(words)
+                rare = [[w[k] for k in np.flatnonzero(ids > reader.end).tolist()] for w, ids in zip(words, docs)]
                 p = class_log10(m, tables, docs)
                 tokens = np.concatenate(docs)
                 head = tokens <= reader.end
@@ -353,22 +362,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
                         pa.array(np.add.reduceat(head.astype(np.int64), starts) - (1 - known_end)),
                         pa.array(np.add.reduceat(counted, starts) - sizes * base_cost),
                         pa.array(np.add.reduceat(p + within, starts)),
-                        pa.array(rare, rare_kind),
+                        pa.array(rare, pa.list_(pa.binary())),
                     ],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
     id_type = df.schema[0].dataType.simpleString()
-    ddl = f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,n:bigint>>"
+    ddl = f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<binary>"
     rows = cut(df.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()))
     more = (
-        rows.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.word", "r.n")
+        rows.select("row", F.explode("rare").alias("word"))
         .join(counts, "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-            F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"),
+            F.count_if(F.col("c") > 0).alias("known"),
+            F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"),
         )
     )
     return rows.drop("rare").join(more, "row", "left").select(
