@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio, raw_bytes
@@ -85,10 +85,10 @@ def survivors(points: DataFrame, segments: DataFrame, before: int) -> DataFrame:
     return points.join(expired(segments, before).select("series", "segment_id"), ["series", "segment_id"], "left_anti")
 
 
-def quota_victims(segments: DataFrame, size: str, quota: int) -> DataFrame:
+def quota_victims(segments: DataFrame, size: str, quota: int | Column) -> DataFrame:
     """Sealed segments deleted, oldest first, until the total size fits: all whose predecessors do not suffice.
 
-    The last segment of a series is never deleted.  The running sum is over segments, a
+    The quota is a number or an aggregate over the segments.  The last segment of a series is never deleted.  The running sum is over segments, a
     table that holds one row for some ten thousand points.
     """
     sealed = segments.withColumn("__last", F.max("segment_id").over(Window.partitionBy("series")))

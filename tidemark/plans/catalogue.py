@@ -292,13 +292,7 @@ def retention_survivors(spark, d):
 def quota_victims(spark, d):
     points = blocks_of(spark, d)
     s = catalog.segment_bounds(points).withColumn("bytes", X.raw_bytes(F.col("point_count")))
-    quota = points.agg(F.expr("count(1) * 16 div 2").alias("q"))
-    half = F.sum("bytes") - F.expr("sum(bytes) div 2")
-    excess = s.agg(half.alias("excess"))
-    sealed = s.withColumn("last", F.max("segment_id").over(Window.partitionBy("series"))).filter("segment_id < last")
-    order = Window.orderBy("max_timestamp", "series", "segment_id").rowsBetween(Window.unboundedPreceding, -1)
-    gone = sealed.withColumn("gone", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
-    return gone.crossJoin(F.broadcast(excess)).filter("gone < excess").select("series", "segment_id", "bytes")  # one row
+    return catalog.quota_victims(s, "bytes", F.expr("sum(bytes) div 2")).select("series", "segment_id", "bytes")
 
 
 @query(f"SELECT series, segment_id, CASE WHEN segment_id = max(segment_id) OVER (PARTITION BY series) THEN 'active' WHEN max_timestamp < {CUTOFF} THEN 'old' ELSE 'sealed' END AS status FROM {SEGMENTS}")
