@@ -120,3 +120,9 @@ def test_names_and_numbers(spark):
     assert X.format_17g(0.1) == "0.10000000000000001" and X.format_17g(100.0) == "100"
     row = spark.range(1).select(X.human_bytes(X.F.lit(1536)).alias("a"), X.ratio(X.F.lit(1.0), X.F.lit(0.0)).alias("b"), X.segment_id(X.F.lit("segment_0001.tse")).alias("c"))
     assert tuple(row.first()) == ("1.5 KB", 0.0, None)
+
+
+def test_places_do_not_depend_on_buckets(spark):
+    df = spark.range(500).selectExpr("concat('s', id % 3) AS series", "(id * 7919) % 500 AS seq", "id AS timestamp", "0D AS value")
+    one, many = (catalog.place_in_series(df, "seq", n).select("series", "seq", "place").orderBy("series", "seq").collect() for n in (None, 7))
+    assert one == many and [r.place for r in one[:4]] == [0, 1, 2, 3]

@@ -10,12 +10,28 @@ from tidemark.operators.reads import largest, least, total
 from tidemark.schema import BLOCK_POINTS
 
 
-def numbered(points: DataFrame, block_points: int = BLOCK_POINTS, blocks_per_segment: int = 4) -> DataFrame:
+def place_in_series(points: DataFrame, order: str = "seq", rows_per_bucket: int | None = None) -> DataFrame:
+    """Points with ``place``: their number, from 0, by a numeric order within their series.
+
+    Without ``rows_per_bucket`` a series is ranked by one task.  With it, the range of the
+    order is cut into so many buckets that one holds about that many rows; a row's place is
+    its rank in its bucket after the rows of the series' earlier buckets.
+    """
+    if rows_per_bucket is None:
+        return points.withColumn("place", (F.row_number().over(Window.partitionBy("series").orderBy(order)) - 1).cast("long"))
+    span = points.agg(F.min(order).alias("__low"), F.max(order).alias("__high"), F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("__n"))
+    share = (F.col(order).cast("double") - F.col("__low").cast("double")) / (F.col("__high").cast("double") - F.col("__low").cast("double") + 1)
+    rows = points.crossJoin(F.broadcast(span)).withColumn("__b", F.floor(share * F.col("__n"))).drop("__low", "__high", "__n")  # one row
+    before = F.sum("__c").over(Window.partitionBy("series").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("series", "__b").agg(F.count(F.lit(1)).alias("__c")).select("series", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("series", "__b").orderBy(order)) - 1
+    return rows.join(counts, ["series", "__b"]).withColumn("place", (F.col("__before") + rank).cast("long")).drop("__b", "__before")
+
+
+def numbered(points: DataFrame, block_points: int = BLOCK_POINTS, blocks_per_segment: int = 4, rows_per_bucket: int | None = None) -> DataFrame:
     """Points with block and segment numbers by order of arrival (``seq``) within their series."""
-    place = F.row_number().over(Window.partitionBy("series").orderBy("seq")) - 1
-    return points.withColumn("block_id", F.floor(place / block_points).cast("long")).withColumn(
-        "segment_id", (F.floor(F.col("block_id") / blocks_per_segment) + 1).cast("int")
-    )
+    placed = place_in_series(points, "seq", rows_per_bucket)
+    return placed.withColumn("block_id", F.expr(f"place div {block_points}")).withColumn("segment_id", F.expr(f"cast(block_id div {blocks_per_segment} + 1 as int)")).drop("place")
 
 
 def block_stats(points: DataFrame, exact_scale: int | None = None) -> DataFrame:
