@@ -31,7 +31,6 @@ an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -46,9 +45,9 @@ from .components import connected_components
 SHINGLE = 3
 #: J >= NUMERATOR / DENOMINATOR links.
 NUMERATOR, DENOMINATOR = 9, 10
-CELL = 3000
+CELL = 1000
 #: Shingles that one cell may hold in all; a cell beyond is cut whatever its number of sets.
-CELL_SHINGLES = 6_000_000
+CELL_SHINGLES = 3_000_000
 PIVOTS = 8
 DEPTH = 2
 #: A cut must leave the largest cell at most this share of what it was.
@@ -84,7 +83,6 @@ def shingle_set(words: list[bytes], hashes: dict, width: int = SHINGLE) -> np.nd
     return np.unique(s)
 
 
-@cache
 def bounds(top: int = 1 << 40) -> tuple[int, ...]:
     out = [1]
     while out[-1] < top:
@@ -92,6 +90,9 @@ def bounds(top: int = 1 << 40) -> tuple[int, ...]:
     return tuple(out)
 
 
+BOUNDS = np.array(bounds())
+
+
 def differences(largest: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
     """At most so many elements are in one of two linked sets only, both of at most ``largest``."""
     return 2 * largest * (den - num) // (den + num)
@@ -102,13 +103,13 @@ def signatures(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
-    edges = bounds()
+    edges = BOUNDS
     own = int(np.searchsorted(edges, n, side="right")) - 1
     out = []
     for c in (own, own + 1):
         if c > own and n * DENOMINATOR // NUMERATOR < edges[c]:
             break
-        h = differences(edges[c + 1] - 1)
+        h = differences(int(edges[c + 1]) - 1)
         if h == 0:  # only equal sets link
             continue
         k = h + 3
