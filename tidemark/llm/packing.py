@@ -23,11 +23,12 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACE_PATTERN, table
+from .common import pieces as pieces_of
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens, in tokens: padding to the next step, attention set-up.
@@ -37,7 +38,7 @@ SHARD_ROWS = 20_000
 
 def words_and_end(text) -> F.Column:
     """Length of a text: words between ASCII white space, plus one end marker."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + F.lit(1)
+    return F.coalesce(F.size(pieces_of(text, SPACE_PATTERN)), F.lit(0)).cast("long") + F.lit(1)
 
 
 def fill(room: int, sizes: list[int], left: np.ndarray) -> int:
@@ -122,18 +123,23 @@ def pack(
     )
     caps = tuple(capacities)
 
-    def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        b, final = pack_lengths(pdf["length"].to_numpy(), caps, overhead)
-        out = pdf[["doc_id", "piece", "start", "length"]].copy()
-        out["bin_id"] = pdf["shard"].to_numpy() * (1 << 32) + b
-        out["capacity"] = final[b]
-        out["offset"] = out.groupby("bin_id")["length"].cumsum() - out["length"]
-        return out
+    def one_shard(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        b, final = pack_lengths(shard["length"].to_numpy(), caps, overhead)
+        lengths = shard["length"].to_numpy()
+        order = np.argsort(b, kind="stable")
+        before = np.cumsum(lengths[order]) - lengths[order]
+        first = np.searchsorted(b[order], b[order])
+        offset = np.empty(len(b), np.int64)
+        offset[order] = before - before[first]
+        kept = [shard[c] for c in ("doc_id", "piece", "start", "length")]
+        new = [pa.array(shard["shard"].to_numpy() * (1 << 32) + b), pa.array(final[b]), pa.array(offset)]
+        return pa.table(kept + new, names=["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"])
 
     id_type = pieces.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {id_type}, piece long, start long, length long, bin_id long, capacity long, offset long"
-    return pieces.groupBy("shard").applyInPandas(one_shard, ddl)
+    # as many partitions as shards: by bytes they would be joined to a few, but packing costs time
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInArrow(one_shard, ddl)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
