@@ -68,7 +68,7 @@ NUMBERS = "|".join(
 )
 CAPITALS = "|".join(
     [
-        rf"[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{RIGHT_EDGE}",
+        rf"[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){RIGHT_EDGE}",
         rf"(?:{'|'.join(TITLES)})\.? {NAME_PART}(?: {NAME_PART})?",
         rf"(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {NAME_PART}",
     ]
@@ -258,21 +258,22 @@ def mod97(s: Column) -> Column:
 
 
 def iban(key: str, e: Column) -> Column:
-    def run(new: Column) -> Column:
-        country = e.substr(F.lit(1), F.lit(2))
+    def run(c: Column) -> Column:
+        country = c.substr(F.lit(1), F.lit(2))
         check = lambda b: 98 - mod97(F.concat(b, country, F.lit("00")))
-        delta = e.substr(F.lit(3), F.lit(2)).cast("int") - check(e.substr(F.lit(5), F.lit(30)))
-        digits = F.lpad(F.pmod(check(new) + delta, F.lit(100)).cast("string"), 2, "0")
-        return F.concat(country, digits, new)
+        delta = c.substr(F.lit(3), F.lit(2)).cast("int") - check(c.substr(F.lit(5), F.lit(30)))
+        digits = lambda b: F.lpad(F.pmod(check(b) + delta, F.lit(100)).cast("string"), 2, "0")
+        return let(ciphered(key, "iban", c.substr(F.lit(5), F.lit(30))), lambda b: F.concat(country, digits(b), b))
 
-    return let(ciphered(key, "iban", e.substr(F.lit(5), F.lit(30))), run)
+    new = let(F.regexp_replace(e, " ", ""), run)
+    return F.when(F.contains(e, F.lit(" ")), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
 
 
 def kind_of(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email")
         .when(e.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
-        .when(e.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "iban")
+        .when(e.rlike(r"^[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){8,31}$"), "iban")
         .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(e.rlike(r"^([0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3})$"), "card")
         .when(e.rlike(r"^[+(0-9]"), "phone")
@@ -300,6 +301,7 @@ def canonical(e: Column) -> Column:
         F.when(kind == "email", F.lower(e))
         .when(kind.isin("card", "ssn"), only_digits(e))
         .when(kind == "phone", F.regexp_replace(e, "[^0-9+]", ""))
+        .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .otherwise(e)
     )
 
