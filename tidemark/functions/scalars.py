@@ -44,7 +44,7 @@ def segment_file(c: Column) -> Column:
 
 def segment_id(c: Column) -> Column:
     """The number in a segment's file name; null unless formatting it gives the name back."""
-    number = F.expr("try_cast(NULL AS int)") if c is None else F.regexp_extract(c, r"^segment_([0-9]{6,9})\.tse$", 1)
+    number = F.regexp_extract(c, r"^segment_([0-9]{6,9})\.tse$", 1)
     parsed = F.when(F.length(number) > 0, number).cast("int")
     return F.when(segment_file(parsed) == c, parsed)
 

@@ -70,11 +70,10 @@ def deltas(points: DataFrame, order: str = "seq") -> DataFrame:
     return one.withColumn("delta_of_delta", F.col("delta") - F.lag("delta").over(w))
 
 
-def value_bits_changed(points: DataFrame, order: str = "seq") -> DataFrame:
-    """Whether a value's bits differ from those before, as a codec by exclusive or would see it."""
+def value_changes(points: DataFrame, order: str = "seq") -> DataFrame:
+    """Whether a value differs from the one before in its series; the first one does."""
     w = Window.partitionBy("series").orderBy(order)
-    before = F.lag("value").over(w)
-    return points.withColumn("changed", F.when(before.isNull(), F.lit(True)).otherwise(F.hex(F.format_number("value", 17)) != F.hex(F.format_number(before, 17))))
+    return points.withColumn("changed", ~F.col("value").eqNullSafe(F.lag("value").over(w)))
 
 
 def last_points(points: DataFrame, n: int, by: Sequence[str] = ("series",)) -> DataFrame:

@@ -385,6 +385,17 @@ def counter_resets(spark, d):
     return rollup.resets(ev(spark, d).select()).select("seq", "run")
 
 
+@query(f"SELECT seq, CASE WHEN v = lag(v) OVER (PARTITION BY series ORDER BY seq) THEN false ELSE true END AS changed FROM {EVENTS}")
+def value_changes(spark, d):
+    return rollup.value_changes(ev(spark, d).select()).select("seq", "changed")
+
+
+@query("SELECT event_type AS series, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY 1")
+def time_in_ms(spark, d):
+    rows = Points(table(spark, d, "events"), "event_type", "ts", "value", unit="ms").select()
+    return rows.groupBy("series").agg(F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+
+
 # sorts and limits
 
 

@@ -40,8 +40,8 @@ class Points:
     def timestamp(self) -> Column:
         t = F.col(self.time)
         if self.kind in ("timestamp", "timestamp_ntz", "date"):
-            micros = F.unix_micros(t.cast("timestamp"))
-            return micros if self.unit == "us" else F.expr(f"{{0}} div {1_000_000 // PER_SECOND[self.unit]}".replace("{0}", f"unix_micros(cast(`{self.time}` as timestamp))"))
+            micros, n = F.unix_micros(t.cast("timestamp")), 1_000_000 // PER_SECOND[self.unit]
+            return micros if n == 1 else F.call_function("div", micros - F.pmod(micros, F.lit(n)), F.lit(n))
         return t.cast("long")
 
     def literal(self, at: int) -> Column | None:
