@@ -145,7 +145,7 @@ def test_pii_surrogates_keep_format_distinctness_and_coreference(spark):
     texts = [
         "mail jo.98@mail5.example.com or JO.98@Mail5.example.com, call +1 (389) 555-5010 or (389) 555-5010",
         "card 4111 1111 1111 1111, 4929348385146306; ip 43.21.141.16 and 10.0.0.1; ssn 123-45-6789",
-        "IBAN GB82WEST12345698765432; Mrs. Maria Müller met John Smith and Dr Smith; Анна Иванова",
+        "IBAN GB82WEST12345698765432; GB82 WEST 1234 5698 7654 32; Mrs. Maria Müller met John Smith and Dr Smith; Анна Иванова",
         "no entities: 12 345 a@b 1.2.3 999.1.1.1", None, "", "x" * 200_000 + " jo.98@mail5.example.com",
     ]
     docs = documents(spark, texts)
@@ -166,6 +166,8 @@ def test_pii_surrogates_keep_format_distinctness_and_coreference(spark):
     assert ips[1].startswith("10.") and not ips[0].startswith("43.21.") and all(int(x) < 256 for i in ips for x in i.split("."))
     iban = new[2].split()[1].rstrip(";")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    spaced = new[2].split("; ")[1]
+    assert spaced.replace(" ", "") == iban and [len(x) for x in spaced.split(" ")] == [4, 4, 4, 4, 4, 2]
     names = re.search(r"Mrs\. (\w+) (\w+) met (\w+) (\w+) and Dr (\w+); (\w+) (\w+)", new[2])
     assert names[1] in pii.GIVEN["latin_f"] and names[3] in pii.GIVEN["latin_m"] and names[6] in pii.GIVEN["cyrillic_f"]
     assert names[4] == names[5] != "Smith"
@@ -297,3 +299,12 @@ def test_png_round_trip():
             lines.append(bytes([rule]) + ((row - guess) % 256).astype(np.uint8).tobytes())
         png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 17, 20, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
         assert (media.decode(png) == image).all()
+
+
+def test_media_recall_in_larger_groups(spark):
+    """Twelve edited copies of each picture: nearly all keep their class."""
+    edits = EDITS + [lambda x: x[20:120, 20:120] * 0.9, lambda x: np.rot90(x, 2), lambda x: np.rot90(x, 3) * 0.7 + 40, lambda x: media.resized(x[None].astype("f4"), 0.7)[0], lambda x: x[0:100, 0:110], lambda x: 255 - (255 - x) * 0.9]
+    rows = [(100 * k + j, media.encode_pgm(e(picture(300 + k)))) for k in range(8) for j, e in enumerate([lambda x: x, *edits])]
+    df = spark.createDataFrame(rows, "id bigint, data binary")
+    got = [(r.id, r.component_id) for r in media.find_copies(df, id_col="id", media_col="data").collect()]
+    assert sum(a // 100 * 100 == b for a, b in got) / len(got) >= 0.9
