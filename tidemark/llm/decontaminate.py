@@ -109,19 +109,19 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def benchmark_tables(
     benchmark: DataFrame, item_col: str, text_col: str, width: int, block_bytes: int
 ) -> Iterator[Broadcast]:
-    """Broadcast automata over blocks of whole items, each block of bounded size."""
+    """Broadcast automata (as plain tuples) over blocks of whole items, each block of bounded size."""
     context = benchmark.sparkSession.sparkContext
     block, size, sent = [], 0, 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         if r.i is None or not r.t:
             continue
         if block and size + len(r.t) > block_bytes:
-            yield context.broadcast(build(block, width))
+            yield context.broadcast([tuple(a) for a in build(block, width)])
             block, size, sent = [], 0, sent + 1
         block.append((r.i, r.t))
         size += len(r.t)
     if block or not sent:
-        yield context.broadcast(build(block, width))
+        yield context.broadcast([tuple(a) for a in build(block, width)])
 
 
 FOUND = pa.schema(

@@ -215,7 +215,7 @@ def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.nd
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, w = model.value, shipped.value.copy()
+        m, w = Model(*model.value), shipped.value.copy()
         reader, tables = Reader(m), Tables(m)
         held: list[np.ndarray] = []
         size = seen = 0
@@ -310,7 +310,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     bias = (np.log(mass / mass.sum()).astype("f4"), np.log(np.maximum(z, 1e-9) / mass[:, None]).astype("f4"))
     end_seen = int(n_docs > 0)
     model = Model(words + [None], n, group, cls, np.log10(np.maximum(z, 1e-300)), centre, int(totals["n"]) + n_docs, int(totals["v"]) + end_seen, np.zeros((2, TABLE, GROUPS), "f4"), bias)
-    shared = spark.sparkContext.broadcast(model._replace(weights=None))
+    shared = spark.sparkContext.broadcast(tuple(model._replace(weights=None)))
     weights = model.weights
     for _ in range(rounds):
         weights = train_round(own, shared, weights)
@@ -334,11 +334,11 @@ def class_log10(model: Model, tables: Tables, docs: list[np.ndarray]) -> np.ndar
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document row: tokens, known tokens, log10 chance by counts alone and by the model."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(model))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = Model(*shipped.value)
         reader, tables = Reader(m), Tables(m)
         lid = np.log10(m.counts + 1.0)
         base_cost = math.log10(m.total + m.types + 1)
