@@ -94,6 +94,55 @@ def test_jaccard_of_nothing_and_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
 
 
+def brute_copies(texts):
+    """Classes at J >= 0.8 on runs of five words."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(space_words, texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return {k: (len(sets[k]), label[k]) for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("cell", [3000, 4])
+def test_copies_stage_equals_brute_force(spark, monkeypatch, cell):
+    """Five words and 0.8 in the pipeline's stage, with short, long and edited texts and a line many have."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    texts = corpus()
+    for base, n in enumerate([6, 9, 14, 25, 50, 100, 100, 400]):
+        text = prose(300 + base, n, 5000)
+        texts += [text] + [edited(text, 1000 + 20 * base + k, 1 + (k * n) // 120) for k in range(8)]
+    words = prose(88, 50, 5000).split()
+    texts += [" ".join(words), " ".join(words[:25] + ["other"] + words[26:])]  # 41 of 51, but 45 of 51 on three words
+    words = prose(89, 100, 5000).split()
+    texts += [" ".join(words), " ".join(words[:30] + ["other"] + words[31:60] + ["another"] + words[61:])]  # 86 of 106
+    line = prose(90, 12, 5000)
+    texts += [prose(600 + k, 60, 5000) + " " + line for k in range(40)]
+    docs, expected = documents(spark, texts), brute_copies(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, width=5, num=4, den=5).collect()}
+    assert got == expected
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()}
+    assert kept == {k for k, (_, c) in expected.items() if c == k}
+    assert not kept & {len(texts) - 41, len(texts) - 43}
+
+
+def test_jaccard_buckets_share_what_a_link_needs():
+    r = np.random.default_rng(1)
+    for n in [5, 8, 9, 10, 13, 17, 24, 45, 90, 200, 700, 2000]:
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[int(r.integers(0, n // 5 + 1)) :], r.integers(0, 2**63, int(r.integers(0, n // 4 + 1))).astype(np.uint64)]))
+            i = jaccard.intersection(a, b)
+            if 5 * i >= 4 * (len(a) + len(b) - i) and len(a) + len(b) != 2 * i:
+                shared = lambda x, y: len(np.intersect1d(x, y))
+                assert any(shared(g, o) >= max(need, other) for g, need in jaccard.bucketed(a, 4, 5) for o, other in jaccard.bucketed(b, 4, 5))
+
+
 def test_jaccard_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "q r s t")], "doc_id bigint, text string")
     assert {(r.doc_id, r.component_id) for r in jaccard.classes(docs).collect()} == {(None, None), (1, 1), (2, 2)}

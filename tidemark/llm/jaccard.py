@@ -1,16 +1,21 @@
 """Exact Jaccard join of documents on word shingles, and the classes it links.
 
 The distance 1 - J is a metric, and the join works on regions of documents that can
-be within ``RADIUS`` of one another:
+be within its radius of one another.  Width and similarity are parameters; the steps
+are told for J >= 0.9:
 
 1. Equal sets are one node, led by the smallest id.
 2. Two sets at J >= 0.9 differ in at most h = (|A| + |B|) / 19 shingles.  The shingle
    universe is dealt into h + 3 buckets by hash, so at least three buckets agree
    entirely.  Sets that agree in a bucket (within one range of sizes) are neighbours,
    and the components of that relation are the first regions: no link leaves one.
+   Below 0.9 buckets are so small that texts with a line in common agree in one.  There
+   the universe is dealt into h + h / 3 buckets, so that a third of h agree, and only by
+   the rarest of its agreeing buckets, up to where that many are left, is a set linked
+   (``rarest``).
 3. A region of more than ``CELL`` sets is cut by pivots: each set goes to the Voronoi cell
    of its nearest pivot and, by the triangle inequality, also to each cell whose pivot
-   is at most 2 * RADIUS farther.  This recurs on cells that are still too large.  Where
+   is at most twice the radius farther.  This recurs on cells that are still too large.  Where
    the windows overlap so much that cutting does not help, the cell is joined as pairs
    of blocks of its sets, which is exact for any data and bounded in memory.
 4. Each cell is joined exactly from the sizes of all intersections, and gives a spanning
@@ -93,36 +98,48 @@ def bounds(top: int = 1 << 40) -> tuple[int, ...]:
 BOUNDS = np.array(bounds())
 
 
+def rare(num: int, den: int) -> bool:
+    """Whether buckets are too small for one of them to link two sets."""
+    return num * DENOMINATOR < den * NUMERATOR
+
+
 def differences(largest: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
     """At most so many elements are in one of two linked sets only, both of at most ``largest``."""
     return 2 * largest * (den - num) // (den + num)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Hashes of the buckets by which a set finds the sets that may link with it."""
+def bucketed(s: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[np.ndarray, int]]:
+    """Hashes of the buckets by which a set finds the sets that may link with it.
+
+    One item for each range of sizes; with a set of that range that it links with, it
+    has at least the second number of hashes in common.
+    """
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     edges = BOUNDS
-    own = int(np.searchsorted(edges, n, side="right")) - 1
+    own = c = int(np.searchsorted(edges, n, side="right")) - 1
     out = []
-    for c in (own, own + 1):
-        if c > own and n * DENOMINATOR // NUMERATOR < edges[c]:
-            break
-        h = differences(int(edges[c + 1]) - 1)
-        if h == 0:  # only equal sets link
-            continue
-        k = h + 3
-        m = mixed(s + np.uint64(c + 1))
-        b = ((m >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        sums = np.zeros(k, np.uint64)
-        np.add.at(sums, b, mixed(m))
-        sizes = np.bincount(b.astype(np.int64), minlength=k)
-        keep = np.arange(k)
-        if (sizes == 0).sum() < k - h:
-            keep = keep[sizes > 0]
-        out.append(mixed(sums[keep] + keep.astype(np.uint64) * M2 + np.full(1, c, np.uint64) * M3))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    while c == own or n * den // num >= edges[c]:
+        h = differences(int(edges[c + 1]) - 1, num, den)
+        if h:  # or else only equal sets link
+            spare = max(3, h // 3) if rare(num, den) else 3
+            k = h + spare
+            m = mixed(s + np.uint64(c + 1))
+            b = ((m >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            sums = np.zeros(k, np.uint64)
+            np.add.at(sums, b, mixed(m))
+            sizes = np.bincount(b.astype(np.int64), minlength=k)
+            keep, need, bare = np.arange(k), 1, int((sizes == 0).sum())
+            if bare < spare:
+                keep, need = keep[sizes > 0], spare - bare
+            out.append((mixed(sums[keep] + keep.astype(np.uint64) * M2 + np.full(1, c, np.uint64) * M3), need))
+        c += 1
+    return out
+
+
+def signatures(s: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in bucketed(s, num, den)]])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -135,22 +152,22 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, k1, k2, sigs): set size, 128 bits that name the set, bucket hashes."""
+def sketches(docs: DataFrame, width: int, *, sigs: bool = True) -> DataFrame:
+    """(doc_id, n, k1, k2, sigs): set size, 128 bits that name the set, bucket hashes or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(space_words(t), hashes, width) for t in part.column(1).to_pylist()]
-                keys = np.array([(s.sum(dtype=np.uint64), mixed(s * M3).sum(dtype=np.uint64)) for s in sets], np.uint64)
+                keys = np.array([names(s) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(signed(np.ascontiguousarray(keys[:, 0]))),
                         pa.array(signed(np.ascontiguousarray(keys[:, 1]))),
-                        lists([signatures(s) for s in sets]),
+                        lists([signatures(s) for s in sets]) if sigs else pa.nulls(len(sets), pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n", "k1", "k2", "sigs"],
                 )
@@ -158,6 +175,67 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
 
 
+def names(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return s.sum(dtype=np.uint64), mixed(s * M3).sum(dtype=np.uint64)
+
+
+def rarest(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, sigs): for each set and range of sizes, the rarest of the hashes that other sets have too.
+
+    Two sets that share ``need`` hashes share one of those that are left when, in one order of
+    all hashes, each gives up its last ``need - 1``.  Hashes that no other set holds link nothing
+    and go first, the others by the number of documents that hold them.  A set stands under its
+    name k1 in place of an id, so that copies are one.  Within a slice the holders of a hash
+    become one row; the others keep the order of the documents, in which they compress best.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in slices(batch, 4096):
+                found = {}
+                for t in part.column(0).to_pylist():
+                    s = shingle_set(space_words(t), hashes, width)
+                    if len(s):
+                        found.setdefault(int(names(s)[0].view(np.int64)), s)
+                runs = [(u, q << 40 | need, g) for u, s in found.items() for q, (g, need) in enumerate(bucketed(s, num, den))]
+                if not runs:
+                    continue
+                sizes = [len(g) for _, _, g in runs]
+                g = signed(np.concatenate([g for _, _, g in runs]))
+                u, q = np.repeat([u for u, _, _ in runs], sizes), np.repeat([q for _, q, _ in runs], sizes)
+                order = np.argsort(g, kind="stable")
+                first = np.concatenate([[True], g[order][1:] != g[order][:-1]])
+                at = np.flatnonzero(first)
+                more = np.diff(np.append(at, len(g))) - 1
+                alone, lead = np.sort(order[at[more == 0]]), order[at[more > 0]]
+                ends = np.concatenate([np.zeros(len(alone) + 1, np.int64), np.cumsum(2 * more[more > 0])]).astype(np.int32)
+                rest = np.stack([u[order[~first]], q[order[~first]]], 1).ravel()
+                rows = np.concatenate([alone, lead])
+                mask = pa.array(np.arange(len(rows)) < len(alone))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[rows]), pa.array(u[rows]), pa.array(q[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest), mask=mask)],
+                    names=["g", "u", "q", "more"],
+                )
+
+    rows = docs.select("text").mapInArrow(run, "g bigint, u bigint, q bigint, more array<bigint>")
+    same = Window.partitionBy("g")
+    holders = F.sum(F.expr("1 + coalesce(size(more) div 2, 0)")).over(same)
+    several = F.max("more").over(same).isNotNull() | (F.min("u").over(same) != F.max("u").over(same))
+    own = F.array(F.struct("u", "q"))
+    others = F.expr("transform(sequence(0, size(more) - 2, 2), i -> struct(get(more, i) AS u, get(more, i + 1) AS q))")
+    shared = rows.withColumn("holders", holders).withColumn("several", several).filter("several")
+    each = shared.select("g", "holders", F.inline(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, others))))
+    kept = F.size("o") - F.col("q").bitwiseAND(F.lit((1 << 40) - 1)).cast("int") + 1
+    return (
+        each.groupBy("u", "q")
+        .agg(F.sort_array(F.collect_set(F.struct("holders", "g"))).alias("o"))  # at most the hashes of one set
+        .select(F.col("u").alias("doc_id"), "o", kept.alias("kept"))
+        .filter("kept > 0")
+        .select("doc_id", F.slice("o", F.lit(1), F.col("kept")).getField("g").alias("sigs"))
+    )
+
+
 def neighbours(sketch: DataFrame) -> DataFrame:
     """(u, v): each set and the smallest id with which it shares a bucket; a star for each bucket.
 
@@ -301,29 +379,34 @@ def links_within(nodes: np.ndarray, sets: list[np.ndarray], num: int = NUMERATOR
     return [(int(u), int(v)) for u, v in zip(nodes, lead) if u != v]
 
 
-def join_cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def join_cells(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): spanning forests of the links within each cell."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        found = links_within(pdf["node"].to_numpy(), [np.asarray(s, np.int64) for s in pdf["s"]])
+        found = links_within(pdf["node"].to_numpy(), [np.asarray(s, np.int64) for s in pdf["s"]], num, den)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return cells.join(sets, "node").groupBy("cell").applyInPandas(run, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """One row for each document row: doc_id, n_shingles, component_id."""
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """One row for each document row: doc_id, n_shingles, component_id; J >= num / den on runs of ``width`` words links."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = cut(sketches(docs, width))
+    by_rank = rare(num, den)
+    sketch = cut(sketches(docs, width, sigs=not by_rank))
     key = ["k1", "k2", "n"]
     leads = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
     leads = cut(leads)
-    nodes = leads.select(F.col("lead").alias("doc_id"))
-    near = connected_components(neighbours(sketch.filter("n > 0").join(nodes, "doc_id", "left_semi").select("doc_id", "sigs")))
+    if by_rank:
+        named = connected_components(neighbours(cut(rarest(docs.filter(F.col("doc_id").isNotNull()), width, num, den))))
+        near = named.join(leads.select(F.col("k1").alias("node"), "lead"), "node").select(F.col("lead").alias("node"), "component")
+    else:
+        nodes = leads.select(F.col("lead").alias("doc_id"))
+        near = connected_components(neighbours(sketch.filter("n > 0").join(nodes, "doc_id", "left_semi").select("doc_id", "sigs")))
     cells = cut(near.select(F.col("component").alias("cell"), "node"))
     sets = cut(sets_of(docs, cells, width).groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s")))
-    joined = join_cells(sized_cells(cells, sets), sets)
+    joined = join_cells(sized_cells(cells, sets, 1 - num / den), sets, num, den)
     found = connected_components(joined)
     copies = leads.filter("copies > 1").drop("copies")
     return (
@@ -335,9 +418,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def sized_cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def sized_cells(cells: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
     """The cells (cell, node) cut until each can be joined in one task."""
-    radius = 1 - NUMERATOR / DENOMINATOR
     lengths = sets.select("node", "n")
 
     def sizes(c: DataFrame) -> DataFrame:
@@ -364,12 +446,12 @@ def sized_cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return done.unionByName(blocks(parts, big))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """One document of each class, that with the smallest id, with all its columns.
 
     A row without an id or without words is kept; of rows that share the leading id, one is kept.
     """
-    found = classes(docs, id_col=id_col, text_col=text_col)
+    found = classes(docs, id_col=id_col, text_col=text_col, width=width, num=num, den=den)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(gone, id_col, "left_anti")
     return kept.select(*docs.columns)
