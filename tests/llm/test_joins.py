@@ -94,6 +94,39 @@ def test_jaccard_of_nothing_and_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
 
 
+@pytest.mark.parametrize("cell", [3000, 4])
+def test_jaccard_of_repeated_rows_and_clashing_ids(spark, monkeypatch, cell):
+    """Rows are judged by their texts, whatever ids they share; one row of each class is kept."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    a, b, c = prose(1, 60, 5000), prose(2, 60, 5000), prose(3, 60, 5000)
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert keep([(1, a)] * 3) == [(1, a)]
+    assert keep([(1, a), (5, a), (5, b)]) == [(1, a), (5, b)]
+    rows = [(5, b), (5, a), (1, b), (1, c), (1, c), (2, a + " x"), (2, ""), (2, "")]
+    assert keep(rows) == sorted([(1, b), (1, c), (2, a + " x"), (2, ""), (2, "")])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([(5, 58, 1), (5, 58, 2), (1, 58, 1), (1, 58, 1), (1, 58, 1), (2, 59, 2), (2, 0, 2), (2, 0, 2)])
+    named = spark.createDataFrame([("b", a), ("a", a), (None, a)], "name string, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.classes(named, id_col="name").collect()} == {("a", "a"), ("b", "a"), (None, None)}
+
+
+def test_jaccard_region_of_copies_of_one_page(spark, monkeypatch):
+    """A region far over the size of a cell: most sets link with a pivot, and the rest is joined."""
+    monkeypatch.setattr(jaccard, "CELL", 30)
+    text = prose(4, 150, 5000)
+    texts = [edited(text, k, 1 + k % 9) for k in range(160)] + [prose(5, 150, 5000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_jaccard_of_long_texts(spark):
+    """Two copies of a text of 600,000 words that differ in one word, cut by pivots as their cell is too large."""
+    words = [f"w{k}" for k in range(600_000)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(words[: 500_000]), "a b c d"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(spark, texts)).collect()}
+    assert got == {0: (599_998, 0), 1: (599_998, 0), 2: (499_998, 2), 3: (2, 3)}
+
+
 def brute_copies(texts):
     """Classes at J >= 0.8 on runs of five words."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(space_words, texts)]

@@ -15,9 +15,11 @@ are told for J >= 0.9:
    (``rarest``).
 3. A region of more than ``CELL`` sets is cut by pivots: each set goes to the Voronoi cell
    of its nearest pivot and, by the triangle inequality, also to each cell whose pivot
-   is at most twice the radius farther.  This recurs on cells that are still too large.  Where
-   the windows overlap so much that cutting does not help, the cell is joined as pairs
-   of blocks of its sets, which is exact for any data and bounded in memory.
+   is at most twice the radius farther.  Sets that link with a pivot are linked there and
+   need no comparison among themselves, so a cell of such sets only is done.  This recurs on
+   cells that are still too large.  Where the windows overlap so much that cutting does not
+   help, the cell is joined as pairs of blocks of its sets, without those of two blocks that
+   link with one pivot; that is exact for any data and bounded in memory.
 4. Each cell is joined exactly from the sizes of all intersections, and gives a spanning
    forest of its links.  The components of the forests are the classes.
 
@@ -29,8 +31,9 @@ Shingles are 64-bit hashes.  Within one join two different shingles share a hash
 chance of about pairs / 2**64.
 
 Defined results: a null or empty text has an empty set and is a class of its own; a row
-without an id has no class; rows with the same set share a class, so repeated rows do;
-an empty table gives an empty result; other columns are never read.
+without an id has no class; rows with the same set share a class, so repeated rows do, and
+rows that share an id but not a text are judged each by its own text; an empty table gives
+an empty result; other columns are never read.  Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -153,26 +156,28 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, width: int, *, sigs: bool = True) -> DataFrame:
-    """(doc_id, n, k1, k2, sigs): set size, 128 bits that name the set, bucket hashes or null."""
+    """(doc_id, t, n, k1, k2, sigs): id, hash of the text, set size, 128 bits that name the set, bucket hashes or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(space_words(t), hashes, width) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(space_words(t), hashes, width) for t in part.column(2).to_pylist()]
                 keys = np.array([names(s) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(signed(np.ascontiguousarray(keys[:, 0]))),
                         pa.array(signed(np.ascontiguousarray(keys[:, 1]))),
                         lists([signatures(s) for s in sets]) if sigs else pa.nulls(len(sets), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "sigs"],
+                    names=["doc_id", "t", "n", "k1", "k2", "sigs"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "t", "text").mapInArrow(run, f"doc_id {id_type}, t bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
 
 
 def names(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -180,7 +185,7 @@ def names(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def rarest(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, sigs): for each set and range of sizes, the rarest of the hashes that other sets have too.
+    """(node, sigs): for each set and range of sizes, the rarest of the hashes that other sets have too.
 
     Two sets that share ``need`` hashes share one of those that are left when, in one order of
     all hashes, each gives up its last ``need - 1``.  Hashes that no other set holds link nothing
@@ -230,14 +235,14 @@ def rarest(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return (
         each.groupBy("u", "q")
         .agg(F.sort_array(F.collect_set(F.struct("holders", "g"))).alias("o"))  # at most the hashes of one set
-        .select(F.col("u").alias("doc_id"), "o", kept.alias("kept"))
+        .select(F.col("u").alias("node"), "o", kept.alias("kept"))
         .filter("kept > 0")
-        .select("doc_id", F.slice("o", F.lit(1), F.col("kept")).getField("g").alias("sigs"))
+        .select("node", F.slice("o", F.lit(1), F.col("kept")).getField("g").alias("sigs"))
     )
 
 
 def neighbours(sketch: DataFrame) -> DataFrame:
-    """(u, v): each set and the smallest id with which it shares a bucket; a star for each bucket.
+    """(u, v) from (node, sigs): each set and the smallest node with which it shares a bucket; a star for each bucket.
 
     Within an Arrow batch a bucket is first linked locally and sends one row on, so a
     bucket shared by a third of all sets still reaches its task as one row from each batch.
@@ -265,7 +270,7 @@ def neighbours(sketch: DataFrame) -> DataFrame:
                 names=["done", "g", "u", "v"],
             )
 
-    rows = sketch.select("doc_id", "sigs").mapInArrow(local, "done boolean, g bigint, u bigint, v bigint")
+    rows = sketch.select("node", "sigs").mapInArrow(local, "done boolean, g bigint, u bigint, v bigint")
     lead = F.first("v").over(Window.partitionBy("g", "done").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     return (
         rows.withColumn("lead", lead)
@@ -276,66 +281,77 @@ def neighbours(sketch: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(node, n, s) for the documents that lead a set in ``members`` (node, cell)."""
+    """(node, n, s) of the sets in ``members`` (doc_id, t, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 64):
                 sets = [shingle_set(space_words(t), hashes, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], names=["node", "n", "s"]
                 )
 
-    nodes = members.select(F.col("node").alias("doc_id"))
-    return docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node bigint, n bigint, s array<bigint>")
+    return docs.join(members, ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node bigint, n bigint, s array<bigint>")
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def voronoi(cells: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
-    """Cut each cell of (cell, node): rows (cell, child, node) for the nearest pivot and its windows."""
+def voronoi(cells: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, node, reach) for cells (cell, node): the pivots, as (d, child, near), in whose windows a set lies.
+
+    ``child`` is the pivot's node, and ``near`` tells whether the two link.  A row pairs one set with
+    one pivot, and a cell is dealt in parts of about ``CELL`` sets, each of which meets its pivots.
+    """
+    parts = sizes.select("cell", F.ceil(F.col("rows") / CELL).cast("long").alias("parts"))
     picks = cells.groupBy("cell").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
     pivots = (
-        picks.select("cell", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("node"))
-        .join(sets, "node")
-        .groupBy("cell")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "s"))).alias("pivots"))  # at most PIVOTS sets
+        picks.select("cell", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("child"))
+        .join(sets.select(F.col("node").alias("child"), F.col("s").alias("p")), "child")
+        .join(parts, "cell")
+        .select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "child", "p")
     )
-    rows = cells.join(sets, "node").join(pivots, "cell")
+    rows = cells.join(parts, "cell").select("cell", F.expr("pmod(xxhash64(node, 7), parts)").alias("part"), "node").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, child, node = [], [], []
-            for part in slices(batch, 64):
-                for r in part.to_pylist():
-                    s = np.array(r["s"], np.int64)
-                    d = []
-                    for p in r["pivots"]:
-                        i = intersection(s, np.array(p["s"], np.int64))
-                        d.append(1 - i / (len(s) + len(p["s"]) - i))
-                    reach = min(d) + 2 * radius + 1e-9
-                    for k, x in enumerate(d):
-                        if x <= reach:
-                            cell.append(r["cell"])
-                            child.append(k)
-                            node.append(r["node"])
+            sides = []
+            for k in (3, 4):
+                column = batch.column(k)
+                ends = column.offsets.to_numpy()
+                sides.append((ends - ends[0], column.flatten().to_numpy(zero_copy_only=False)))
+            (a, x), (b, y) = sides
+            both = [intersection(x[a[i] : a[i + 1]], y[b[i] : b[i + 1]]) for i in range(batch.num_rows)]
+            union = np.diff(a).astype(np.int64) + np.diff(b) - np.array(both, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), pa.array(child, pa.int64()), pa.array(node, pa.int64())], names=["cell", "child", "node"]
+                [*batch.columns[:3], pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["cell", "node", "child", "both", "all"]
             )
 
-    return rows.select("cell", "node", "s", "pivots").mapInArrow(run, "cell bigint, child bigint, node bigint")
+    met = rows.join(pivots, ["cell", "part"]).select("cell", "node", "child", "s", "p")
+    met = met.mapInArrow(run, "cell bigint, node bigint, child bigint, both bigint, all bigint")
+    seen = F.struct((1 - F.col("both") / F.col("all")).alias("d"), "child", (F.col("both") * den >= F.col("all") * num).alias("near"))
+    reach = F.expr(f"filter(o, x -> x.d <= o[0].d + {2 * (1 - num / den) + 1e-9})")
+    return met.groupBy("cell", "node").agg(F.sort_array(F.collect_list(seen)).alias("o")).select("cell", "node", reach.alias("reach"))  # PIVOTS at most
+
 
+def blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Cells (cell, node, cover) too large to join at once as pairs of blocks: (cell, node) with a cell for each pair.
 
-def blocks(cells: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Cells too large to join at once as pairs of blocks: (cell, node) with a cell for each pair."""
+    Sets that link with one pivot, their ``cover``, are not paired with one another.
+    """
     half = CELL // 2
-    n = F.ceil(F.greatest(F.col("rows") / half, F.col("shingles") / (CELL_SHINGLES / 2))).cast("long")
-    own = cells.join(sizes, "cell").withColumn("n", n).withColumn("b", F.pmod(F.xxhash64("node", F.lit(99)), F.col("n")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    return own.withColumn("o", other).select(F.xxhash64("cell", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "node")
+    n = F.ceil(F.greatest(F.count("*") / half, F.sum("n") / (CELL_SHINGLES / 2))).cast("long")
+    own = cells.join(sets.select("node", "n"), "node").withColumn("g", F.coalesce("cover", F.lit(-1)))
+    groups = cut(own.groupBy("cell", "g").agg(n.alias("blocks")))
+    each = groups.select("cell", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    other = each.select("cell", F.col("g").alias("g2"), F.col("b").alias("b2"))
+    pairs = each.join(other, "cell").filter("(g < g2 OR (g = g2 AND b <= b2 AND g = -1))").withColumn("pair", F.xxhash64("cell", "g", "b", "g2", "b2"))
+    sides = pairs.select("cell", "pair", F.explode(F.array(F.struct("g", "b"), F.struct(F.col("g2").alias("g"), F.col("b2").alias("b")))).alias("side"))
+    sides = sides.select("cell", "pair", "side.g", "side.b").distinct()
+    placed = own.join(groups, ["cell", "g"]).select("cell", "g", F.expr("pmod(xxhash64(node, 99), blocks)").alias("b"), "node")
+    return placed.join(sides, ["cell", "g", "b"]).select(F.col("pair").alias("cell"), "node")
 
 
 def links_within(nodes: np.ndarray, sets: list[np.ndarray], num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[int, int]]:
@@ -390,71 +406,92 @@ def join_cells(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return cells.join(sets, "node").groupBy("cell").applyInPandas(run, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row for each document row: doc_id, n_shingles, component_id; J >= num / den on runs of ``width`` words links."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, t, n, copies, top): for each row its class's first (doc_id, t), null where it is alone."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     by_rank = rare(num, den)
     sketch = cut(sketches(docs, width, sigs=not by_rank))
     key = ["k1", "k2", "n"]
-    leads = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
-    leads = cut(leads)
+    named = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    leads = named.groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("lead"), F.count("*").alias("copies"))
+    leads = cut(leads.withColumn("node", F.monotonically_increasing_id()))
+    at = leads.select("lead.doc_id", "lead.t", "node")
     if by_rank:
-        named = connected_components(neighbours(cut(rarest(docs.filter(F.col("doc_id").isNotNull()), width, num, den))))
-        near = named.join(leads.select(F.col("k1").alias("node"), "lead"), "node").select(F.col("lead").alias("node"), "component")
+        near = connected_components(neighbours(cut(rarest(docs.filter(F.col("doc_id").isNotNull()), width, num, den))))
+        near = near.withColumnRenamed("node", "k1").join(leads.select("k1", "node"), "k1").select("node", "component")
     else:
-        nodes = leads.select(F.col("lead").alias("doc_id"))
-        near = connected_components(neighbours(sketch.filter("n > 0").join(nodes, "doc_id", "left_semi").select("doc_id", "sigs")))
+        near = connected_components(neighbours(named.select("doc_id", "t", "sigs").join(at, ["doc_id", "t"])))
     cells = cut(near.select(F.col("component").alias("cell"), "node"))
-    sets = cut(sets_of(docs, cells, width).groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s")))
-    joined = join_cells(sized_cells(cells, sets, 1 - num / den), sets, num, den)
-    found = connected_components(joined)
-    copies = leads.filter("copies > 1").drop("copies")
-    return (
-        sketch.select("doc_id", *key)
-        .join(copies, key, "left")
-        .withColumn("node", F.coalesce("lead", "doc_id"))
-        .join(found, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
+    sets = cut(sets_of(docs, at.join(cells.select("node"), "node"), width).groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s")))
+    sized, links = sized_cells(cells, sets, num, den)
+    joined = join_cells(sized, sets, num, den)
+    found = connected_components(joined if links is None else joined.unionByName(links))
+    with_lead = found.join(leads.select("node", "lead"), "node")
+    tops = with_lead.groupBy("component").agg(F.min("lead").alias("top"))
+    tops = found.join(tops, "component").select("node", "top")
+    several = leads.join(tops, "node", "left").filter("copies > 1 OR top IS NOT NULL")
+    several = several.select(*key, "copies", F.coalesce("top", "lead").alias("top"))
+    return sketch.select("doc_id", "t", *key).join(several, key, "left").select(
+        "doc_id", "t", "n", "copies", F.when(F.col("doc_id").isNotNull(), F.col("top")).alias("top")
     )
 
 
-def sized_cells(cells: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
-    """The cells (cell, node) cut until each can be joined in one task."""
-    lengths = sets.select("node", "n")
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """One row for each document row: doc_id, n_shingles, component_id; J >= num / den on runs of ``width`` words links."""
+    found = labelled(docs, id_col, text_col, width, num, den)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top.doc_id", "doc_id").alias("component_id"))
 
-    def sizes(c: DataFrame) -> DataFrame:
-        return c.join(lengths, "node").groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
 
+def sized_cells(cells: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """The cells (cell, node) cut until each can be joined in one task, and the links found with pivots (u, v)."""
+    lengths = sets.select("node", "n")
     large = (F.col("rows") > CELL) | (F.col("shingles") > CELL_SHINGLES)
-    done, parts = None, cells
+    done, links, parts = None, None, cells.withColumn("cover", F.lit(None).cast("long"))
+
+    def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if have is None else have.unionByName(new)
+
     for depth in range(DEPTH + 1):
-        now = cut(sizes(parts))
+        now = cut(parts.join(lengths, "node").groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")))
         big = now.filter(large)
-        small = parts.join(now.filter(~large).select("cell"), "cell", "left_semi")
-        done = small if done is None else done.unionByName(small)
+        done = more(done, parts.join(now.filter(~large).select("cell"), "cell", "left_semi").select("cell", "node"))
         if big.isEmpty():
-            return done
+            return done, links
         parts = cut(parts.join(big.select("cell"), "cell", "left_semi"))
         if depth == DEPTH:
             break
-        cutting = cut(voronoi(parts, sets, radius))
-        widest = cutting.groupBy("cell", "child").count().groupBy("cell").agg(F.max("count").alias("most"))
+        reached = cut(voronoi(parts.select("cell", "node"), big, sets, num, den))
+        met = reached.select("cell", "node", F.explode("reach").alias("o")).select("cell", "node", "o.child", "o.near")
+        links = more(links, met.filter("near AND node <> child").select(F.col("node").alias("u"), F.col("child").alias("v")).distinct())
+        # cells whose sets all link with the pivot are done
+        open_cells = cut(met.groupBy("cell", "child").agg(F.count("*").alias("most"), F.count_if(~F.col("near")).alias("left")).filter("left > 0"))
+        widest = open_cells.groupBy("cell").agg(F.max("most").alias("most"))
         helped = big.join(widest, "cell").filter(F.col("most") <= HELPS * F.col("rows")).select("cell")
-        stuck = parts.join(helped, "cell", "left_anti")
-        done = done.unionByName(blocks(stuck, big))
-        parts = cut(cutting.join(helped, "cell", "left_semi").select(F.xxhash64("cell", "child").alias("cell"), "node"))
-    return done.unionByName(blocks(parts, big))
+        stuck = reached.join(widest, "cell", "left_semi").join(helped, "cell", "left_anti")
+        cover = F.when(F.expr("reach[0].near"), F.expr("reach[0].child"))  # the nearest pivot links if any does
+        done = done.unionByName(blocks(stuck.select("cell", "node", cover.alias("cover")), sets))
+        met = met.join(open_cells.select("cell", "child"), ["cell", "child"], "left_semi").join(helped, "cell", "left_semi")
+        parts = cut(met.select(F.xxhash64("cell", "child").alias("cell"), "node", F.when(F.col("near"), F.col("child")).alias("cover")))
+    return done.unionByName(blocks(parts, sets)), links
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns.
+    """One row of each class, that with the smallest id, with all its columns.
 
-    A row without an id or without words is kept; of rows that share the leading id, one is kept.
+    Of several texts of one class under the smallest id, the one with the smallest hash is kept; of
+    rows equal in id and text, any one.  A row without an id or without words is kept.
     """
-    found = classes(docs, id_col=id_col, text_col=text_col, width=width, num=num, den=den)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.select(*docs.columns)
+    found = cut(labelled(docs, id_col, text_col, width, num, den).filter("top IS NOT NULL"))
+    leads = (F.col("doc_id") == F.col("top.doc_id")) & (F.col("t") == F.col("top.t"))
+    mark = "tidemark jaccard text"
+    at = [F.col("doc_id").alias(id_col), F.col("t").alias(mark)]
+    gone = found.filter(~leads).select(*at).distinct()
+    kept = docs.withColumn(mark, F.xxhash64(text_col)).join(gone, [id_col, mark], "left_anti")
+    again = cut(found.filter(leads & (F.col("copies") > 1)).groupBy("doc_id", "t").count().filter("count > 1").select(*at))
+    if not again.isEmpty():
+        once = kept.join(again, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
+        kept = kept.join(again, [id_col, mark], "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
