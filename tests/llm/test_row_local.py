@@ -202,6 +202,58 @@ def test_noisy_channel_restores_words():
         assert scorer.score(clean) < 0.5
 
 
+def test_noisy_channel_restores_words_in_any_surroundings():
+    """Several words in one spaced run, wide gaps, long tokens, junk around a word: none of it hides it."""
+    scorer = toxicity.Scorer(toxicity.fit(toxic_rows(300)))
+    base = "lamp river stone paper "
+    toxic = ["i d i o t l a m p", "l a m p i d i o t", "i d i o t  l a m p", "r i v e r   1 d 1 0 t   s t o n e", "y o u i d i o t", "1d10t" + "-" * 50 + "x", "xx1d10t", "lampidiot", "riveridiotstone", "lamp.1d10t.river", "1d10t" * 30, "a i d i o t", "i d i o t " * 40, "m.o.r.o.n/l.a.m.p"]
+    for word in toxic:
+        assert scorer.score(base + word) > 0.5, word
+    for clean in ("l a m p r i v e r", "lampriver", "l a m p  s t o n e", "a b c d e f", "1 2 3 4 5", "lamp-river-stone", "l4mp" + "-" * 60 + "r1ver", "green" * 2000, "x" * 50_000):
+        assert scorer.score(base + clean) < 0.5, clean
+
+
+def every_path(letters, token):
+    """(price, words) of each path of the lattice."""
+    t = toxicity
+    steps = list(t.characters(token))
+    at = lambda word: (t.START + word)[-len(t.START) :]
+
+    def go(i, words, price):
+        word = words[-1]
+        if i == len(steps):
+            yield price + (letters.cost(at(word), "$") if word else 0.0), [w for w in words if w]
+            return
+        ch, gap = steps[i]
+        starts = [(words, price + (t.ACROSS if gap == 2 and word else 0.0))]
+        if gap is not None and word:
+            starts.append((words + [""], price + letters.cost(at(word), "$") + (t.JOINED, t.AT_GAP, t.AT_WIDE)[gap]))
+        for now, p in starts:
+            *done, w = now
+            for c in t.LEET.get(ch, "") + (ch if ch.isalpha() else ""):
+                yield from go(i + 1, [*done, w + c], p + letters.cost(at(w), c) + (0.0 if c == ch else t.IMITATE))
+            if w and (w[-1] == ch or w[-1] in t.LEET.get(ch, "")):
+                yield from go(i + 1, now, p + t.REPEAT)
+            elif not ch.isalpha():
+                yield from go(i + 1, now, p + (t.LOSE if ch.isalnum() else t.SKIP_SIGN if ch in t.LEET else t.SKIP))
+            if not ch.isalnum() and w:
+                yield from go(i + 1, now + [""], p + letters.cost(at(w), "$") + t.AT_SIGN)
+
+    return go(0, [""], 0.0)
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths():
+    letters = toxicity.Letters({w: 3 for w in BAD + GOOD})
+    r = np.random.default_rng(6)
+    tokens = ["1d10t", "i.d.i.o", "lamp1d", "tr@$h", "iidd", "1 d 1 o", "a  b c", "xx1d", "!!", "m0r.l4", "o-o"]
+    tokens += ["".join(r.choice(list("idotmr10@$.-"), size=int(r.integers(1, 7)))) for _ in range(60)]
+    for token in tokens:
+        price, words = letters.cheapest(token)
+        paths = list(every_path(letters, token))
+        assert price == pytest.approx(min(p for p, _ in paths)), token
+        assert any(w == words and p == pytest.approx(price) for p, w in paths), token
+
+
 def test_toxicity_over_tables(spark):
     rows = list(toxic_rows(200))
     docs = documents(spark, [t for t, _ in rows] + ODD)
