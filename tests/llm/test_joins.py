@@ -192,26 +192,30 @@ def brute_license(text):
         places += at
         base |= {label} if at else set()
     labels, share = set(base), 0.0
-    for line in (text or "").split("\n"):
-        own = {w.decode() for w in alnum_words(line)}
-        hits = []
-        for label, t in licenses.TEMPLATES.items():
-            tokens = set(licenses.template_tokens(t))
-            if len(own & tokens) >= licenses.needed(len(tokens), licenses.THRESHOLD):
-                hits.append((len(own & tokens), label, len(own & tokens) / len(tokens)))
-        for n, label, s in hits:
-            if n == max(h[0] for h in hits):
-                labels.add(label)
-                share = max(share, s)
+    for c in (4, 8, 16, 32):
+        for at in range(0, len(words), c):
+            own, hits = set(words[at : at + 2 * c]), []
+            for label, some in licenses.TEMPLATES.items():
+                for t in some:
+                    tokens = set(licenses.template_tokens(t))
+                    if licenses.span(t) == c and len(own & tokens) >= licenses.needed(len(tokens), licenses.THRESHOLD):
+                        hits.append((own & tokens, label, len(own & tokens) / len(tokens)))
+            for shared, label, s in hits:
+                if not any(shared < other or shared == other and s < more for other, _, more in hits):
+                    labels.add(label)
+                    share = max(share, s)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else share
 
 
 def test_licenses_equal_brute_force(spark):
-    texts = ODD + list(licenses.TEMPLATES.values()) + [
+    every = [t for some in licenses.TEMPLATES.values() for t in some]
+    texts = ODD + every + [prose(70 + k, k % 9) + " " + re.sub(" ", lambda _: "\n" if k % 2 else " ", t) + " " + prose(90 + k, 30) for k, t in enumerate(every)] + [
         prose(1, 20) + "\nLicensed under CC BY-NC 4.0.\n" + prose(2, 20),
         "All rights reserved. all RIGHTS reserved\nthe general public license",
         "This work is licensed under the GNU General Public License, version 3.",
         "license gnu public", "Permission is hereby granted, free of charge, to any one obtaining a copy of this software", "All rights\nreserved",
+        "rights " + prose(3, 1000) + " all " + prose(4, 1000) + " reserved",
+        every[1] + " and " + every[2] + " and licensed under the Apache License, Version 2.0, released under the MIT License",
     ]
     got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(documents(spark, texts + texts)).collect()}
     assert len(got) == 2 * len(texts)
@@ -220,6 +224,20 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_of_every_declaration(spark):
+    """Each sentence gives its own label, wrapped lines or not, and so do two in one line and rows without an id."""
+    rows = [(label, t) for label, some in licenses.TEMPLATES.items() for t in some]
+    texts = [prose(k, 13 + k) + " " + t.replace(" ", "\n# ") + ". " + prose(k + 50, 20) for k, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, "Licensed under the Apache License, Version 2.0. " + rows[-10][1] + ". Released under the MIT License.")], "doc_id string, text string")
+    got = [r.labels.split(",") for r in licenses.scan_licenses(docs.coalesce(1)).collect()]
+    assert len(got) == len(docs.collect())
+    for label in licenses.TEMPLATES:
+        assert any(label in g for g in got), label
+    assert any({"apache-2.0", "mit"} <= set(g) for g in got)
+    both = [g for g in got if "cc-by-4.0" in g and "cc-by-nc-4.0" in g]
+    assert not both, both
+
+
 # personal data
 
 
