@@ -24,23 +24,41 @@ def brute_hits(text, items, width=10):
             for b in range(len(words) - m + 1):
                 if words[b : b + m] == pattern[a : a + m]:
                     hit.update(range(b, b + m))
-                    found.add(str(i))
-    return len(words), len(hit), ",".join(sorted(found))
+                    found.add(i)
+    return len(words), len(hit), len(found), ",".join(sorted(str(i) for i in found if i is not None))
 
 
 def benchmark(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 120])
-def test_decontamination_equals_brute_force(spark, block_bytes):
-    items = [(1, prose(1, 25)), (2, prose(2, 10)), (3, "w1 w2"), (10, "w7"), (4, None), (5, ""), (6, prose(1, 25))]
-    texts = ODD + [prose(9, 40), prose(9, 20) + " " + prose(1, 25)[10:] + " " + prose(3, 9), "W1, w2! w1 w2", prose(2, 10).upper()]
-    found = decontaminate.find_passages(documents(spark, texts), benchmark(spark, items), block_bytes=block_bytes)
-    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), ",".join(r["items"])) for r in found.collect()}
+@pytest.mark.parametrize("patterns", [1 << 20, 7])
+def test_decontamination_equals_brute_force(spark, patterns):
+    items = [(1, prose(1, 25)), (2, prose(2, 10)), (3, "w1 w2"), (10, "w7"), (4, None), (5, ""), (6, prose(1, 25)), (None, prose(8, 30)), (None, "w3 w4 w5")]
+    texts = ODD + [prose(9, 40), prose(9, 20) + " " + prose(1, 25)[10:] + " " + prose(3, 9), "W1, w2! w1 w2", prose(2, 10).upper(), prose(8, 30), prose(8, 30), "x w3 w4 w5 x"]
+    found = decontaminate.find_passages(documents(spark, texts), benchmark(spark, items), patterns=patterns)
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), len(r["items"]), ",".join(i for i in r["items"] if i is not None)) for r in found.collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
 
 
+def test_decontamination_of_a_benchmark_of_several_tables(spark):
+    docs = documents(spark, ["clean text", prose(5, 12), None, prose(5, 30)[20:] + " tail", prose(5, 400)])
+    kept = decontaminate.drop_contaminated(docs, benchmark(spark, [(1, prose(5, 300))]), patterns=50)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_decontamination_tables_stay_small():
+    """A table of 200,000 patterns takes some 30 MB, and one suffix that a third of the patterns share is no slow bucket."""
+    import pickle
+
+    words = [[f"w{(k * 7919 + j * j) % 50021}".encode() for j in range(300)] for k in range(690)]
+    words += [[f"u{k}".encode(), f"v{k % 7}".encode()] * 4 + [b"same", b"end"] for k in range(60_000)]
+    tables = decontaminate.build(enumerate(words))
+    assert len(pickle.dumps(tuple(tables))) < 60 << 20
+    spans, items = decontaminate.search([b"x", *words[-5], b"y"], tuple(tables))
+    assert spans == [(1, 11)] and items == {str(len(words) - 5)}
+
+
 def test_decontamination_of_nothing(spark):
     none = benchmark(spark, [])
     assert decontaminate.find_passages(empty(spark), none).count() == 0

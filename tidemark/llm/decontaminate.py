@@ -2,19 +2,21 @@
 
 Patterns are runs of ``width`` consecutive benchmark words; an item with fewer
 words, but at least one, is a single shorter pattern.  Symbols are words and a
-block is two of them: the shift table says how far the search window may jump
-when it ends in a given block, a block with shift zero selects a bucket by the
-hash of the pattern's suffix, the pattern's first block narrows it, and a
-comparison of all words confirms each occurrence.  Patterns of equal length share
-one table, so a short item never shortens the jumps of the others.
+block is two of them: the shift table, addressed by the hash of a block, says how far
+the search window may jump when it ends in that block; a block with shift zero selects
+the bucket of patterns with that suffix, and a comparison of all words confirms each
+occurrence.  Patterns of equal length share one table, so a short item never shortens
+the jumps of the others.
 
-The benchmark reaches the executors in blocks of at most ``block_bytes``; a larger
-benchmark is searched block after block over the same rows, and nothing is
-dropped.  The operator is row-local: no shuffle, whatever the skew.
+The benchmark reaches the executors as numpy tables of at most ``PATTERNS`` patterns (some
+100 MB), however long its items are.  A larger benchmark takes several passes over the
+documents; a pass writes the few texts it hits, and one table is alive at a time.  A pass is
+row-local: no shuffle, whatever the skew.
 
 Defined results: a null or empty text has no words and no hits; repeated rows are
-judged each on its own; a benchmark without words marks nothing; columns other
-than the id and the text are never read, so their names cannot clash.
+judged each on its own; passages of items without an id are hits, and those items count as
+one, which adds nothing to the digest; a benchmark without words marks nothing; columns
+other than the id and the text are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,75 +25,103 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, slices, table
+from .common import alnum_words, cut, slices, table
 
 WIDTH = 10
-BLOCK_BYTES = 16 << 20
+PATTERNS = 1_000_000
 
 
 class Automaton(NamedTuple):
-    """Tables for the patterns of one length."""
+    """Tables for the patterns of one length; words are numbers, -1 one that no pattern has."""
 
     length: int
     block: int
-    jump: int
-    shift: dict
-    buckets: dict
+    shift: np.ndarray  # by the hash of a block
+    suffix: np.ndarray  # the block at the end of each pattern, ascending
+    patterns: np.ndarray  # distinct patterns, words from the last to the first, in that order
+    first: np.ndarray  # where each pattern's items begin in ``items``
+    items: np.ndarray  # places in the list of item ids
 
 
-def windows(words: list[bytes], width: int) -> Iterable[tuple[bytes, ...]]:
-    if not words:
-        return ()
-    if len(words) <= width:
-        return (tuple(words),)
-    return (tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+class Tables(NamedTuple):
+    words: dict
+    names: list  # item ids as strings, or None
+    automata: list
 
 
-def build(items: Iterable[tuple[object, str | None]], width: int = WIDTH) -> list[Automaton]:
-    """Shift tables and suffix buckets, one automaton for each pattern length."""
-    owners: dict[int, dict[tuple[bytes, ...], set]] = {}
+def hashed(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """A place in a table of ``size`` (a power of two) for each block."""
+    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (x >> np.uint64(33)) & np.uint64(size - 1)
+
+
+def joint(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return last.astype(np.int64) << np.int64(32) | before.astype(np.int64)
+
+
+def build(items: Iterable[tuple[object, list[bytes]]], width: int = WIDTH) -> Tables:
+    """Tables for the runs of ``width`` words of (id, words); a shorter item is one run."""
+    words: dict[bytes, int] = {}
+    names: dict[str | None, int] = {}
+    runs: dict[int, list] = {}
     for item, text in items:
-        for w in windows(alnum_words(text), width):
-            owners.setdefault(len(w), {}).setdefault(w, set()).add(item)
-    out = []
-    for m, patterns in sorted(owners.items()):
+        if text:
+            own = names.setdefault(None if item is None else str(item), len(names))
+            ids = np.array([words.setdefault(w, len(words)) for w in text], np.int32)
+            m = min(width, len(ids))
+            seen = np.lib.stride_tricks.sliding_window_view(ids, m)[:, ::-1]
+            runs.setdefault(m, []).append((seen, np.full(len(seen), own, np.int32)))
+    automata = []
+    for m, some in sorted(runs.items()):
+        every, owner = np.concatenate([r for r, _ in some]), np.concatenate([o for _, o in some])
+        patterns, which = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
+        first = np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1))
         b = min(2, m)
-        shift: dict[bytes, int] = {}
-        buckets: dict[bytes, dict[bytes, list]] = {}
-        for p, ids in patterns.items():
-            for end in range(b - 1, m):
-                key = b" ".join(p[end - b + 1 : end + 1])
-                far = m - 1 - end
-                if far < shift.get(key, m):
-                    shift[key] = far
-            suffix, prefix = b" ".join(p[m - b :]), b" ".join(p[:b])
-            buckets.setdefault(suffix, {}).setdefault(prefix, []).append((list(p), frozenset(ids)))
-        out.append(Automaton(m, b, m - b + 1, shift, buckets))
-    return out
+        size = max(1 << 10, 1 << int(4 * patterns.size).bit_length())
+        shift = np.full(size, m - b + 1, np.int16)
+        for far in range(m - b, -1, -1):  # columns run from the last word: a block that ends ``far`` words before the end
+            shift[hashed(patterns[:, far], patterns[:, far + b - 1], size)] = far
+        automata.append(Automaton(m, b, shift, joint(patterns[:, 0], patterns[:, b - 1]), patterns, first, pairs[:, 1]))
+    return Tables(words, list(names), [tuple(a) for a in automata])
 
 
-def search(words: list[bytes], automata: list[Automaton]) -> tuple[list[tuple[int, int]], set]:
+def search(words: list[bytes], tables: tuple) -> tuple[list[tuple[int, int]], set]:
     """Spans of words (end exclusive, one for each occurrence) and the items found."""
+    known, names, automata = tables
     spans, items, n = [], set(), len(words)
-    for m, b, jump, shift, buckets in automata:
-        at, get = m - 1, shift.get
-        while at < n:
-            key = words[at] if b == 1 else words[at - 1] + b" " + words[at]
-            far = get(key, jump)
-            if far:
-                at += far
+    if not n or not automata:
+        return spans, items
+    get = known.get
+    ids = np.array([get(w, -1) for w in words], np.int32)
+    for m, b, shift, suffix, patterns, first, owner in automata:
+        if n < m:
+            continue
+        far = shift[hashed(ids[b - 1 :], ids[: n - b + 1], len(shift))].tolist()  # by the place where a block begins
+        at, last = m - b, n - b
+        while at <= last:
+            jump = far[at]
+            if jump:
+                at += jump
                 continue
-            start = at - m + 1
-            prefix = words[start] if b == 1 else words[start] + b" " + words[start + 1]
-            for pattern, ids in buckets[key].get(prefix, ()):
-                if words[start : at + 1] == pattern:
-                    spans.append((start, at + 1))
-                    items |= ids
+            start = at + b - m
+            window = ids[start : start + m][::-1]
+            key = joint(window[:1], window[b - 1 : b])[0]
+            low, high = np.searchsorted(suffix, key, "left"), np.searchsorted(suffix, key, "right")
+            for j in range(b, m):  # a bucket is in order: narrow it word by word
+                if high - low <= 8:
+                    break
+                column = patterns[low:high, j]
+                low, high = low + np.searchsorted(column, window[j], "left"), low + np.searchsorted(column, window[j], "right")
+            for k in range(low, high):
+                if (patterns[k] == window).all():
+                    spans.append((start, start + m))
+                    items.update(names[i] for i in owner[first[k] : first[k + 1]].tolist())
             at += 1
     return spans, items
 
@@ -106,22 +136,21 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_tables(
-    benchmark: DataFrame, item_col: str, text_col: str, width: int, block_bytes: int
-) -> Iterator[Broadcast]:
-    """Broadcast automata (as plain tuples) over blocks of whole items, each block of bounded size."""
-    context = benchmark.sparkSession.sparkContext
-    block, size, sent = [], 0, 0
+def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str, width: int, patterns: int) -> Iterator[Tables]:
+    """Tables of at most ``patterns`` patterns, one after another; none at least.  A long item goes on in the next table."""
+    block, room, sent = [], patterns, 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        if r.i is None or not r.t:
-            continue
-        if block and size + len(r.t) > block_bytes:
-            yield context.broadcast([tuple(a) for a in build(block, width)])
-            block, size, sent = [], 0, sent + 1
-        block.append((r.i, r.t))
-        size += len(r.t)
+        words, at = alnum_words(r.t), 0
+        while at == 0 or at + width <= len(words):  # the runs that begin from ``at`` on
+            some = words[at : at + room + width - 1]
+            block.append((r.i, some))
+            taken = max(1, len(some) - width + 1)
+            at, room = at + taken, room - taken
+            if room <= 0:
+                yield build(block, width)
+                block, room, sent = [], patterns, sent + 1
     if block or not sent:
-        yield context.broadcast([tuple(a) for a in build(block, width)])
+        yield build(block, width)
 
 
 FOUND = pa.schema(
@@ -134,6 +163,15 @@ FOUND = pa.schema(
 FOUND_DDL = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
+def named(item: str | None) -> tuple:
+    return item is not None, item or ""
+
+
+def scan(tables: tuple, words: list[bytes]) -> dict:
+    spans, items = search(words, tables)
+    return {"n_words": len(words), "spans": [{"start": s, "end": e} for s, e in merged(spans)], "items": sorted(items, key=named)}
+
+
 def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -143,60 +181,77 @@ def find_passages(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = WIDTH,
-    block_bytes: int = BLOCK_BYTES,
+    patterns: int = PATTERNS,
 ) -> DataFrame:
     """One row for each document row: id, word count, merged hit spans (in words), item ids."""
-    tables = list(benchmark_tables(benchmark, item_col, item_text_col, width, block_bytes))
     df = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     id_ddl = f"`{id_col}` {df.schema[0].dataType.simpleString()}"
+    tables = benchmark_tables(benchmark, item_col, item_text_col, width, patterns)
+    now, after = next(tables), next(tables, None)
+    if after is None:
+        return df.mapInArrow(reader(df, now, [id_col]), f"{id_ddl}, {FOUND_DDL}")
+    df = df.select(F.col(id_col), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text")
+    key = "h1 bigint, h2 bigint"
+    hits = None
+    while now is not None:
+        some = cut(df.select("h1", "h2", "text").mapInArrow(reader(df, now, ["h1", "h2"], hit_only=True), f"{key}, {FOUND_DDL}"))
+        hits = some if hits is None else hits.unionByName(some)
+        now, after = after, next(tables, None)
+
+    def added(pdf):
+        spans = merged((s["start"], s["end"]) for found in pdf["spans"] for s in found)
+        items = sorted({i for found in pdf["items"] for i in found}, key=named)
+        out = pdf.iloc[:1].copy()
+        out["spans"], out["items"] = [[{"start": s, "end": e} for s, e in spans]], [items]
+        return out
+
+    once = hits.dropDuplicates(["h1", "h2", "spans", "items"])  # repeated rows hit alike
+    found = once.groupBy("h1", "h2").applyInPandas(added, f"{key}, {FOUND_DDL}").withColumnsRenamed({"n_words": "n", "spans": "s", "items": "i"})
+    none = Tables({}, [], [])
+    counted = df.mapInArrow(reader(df, none, [id_col, "h1", "h2"]), f"{id_ddl}, {key}, {FOUND_DDL}")
+    return counted.join(found, ["h1", "h2"], "left").select(
+        F.col(id_col), "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items")
+    )
 
-    def step(auto: Broadcast, first: bool, last: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automata = auto.value
-            for batch in batches:
-                for part in slices(batch):
-                    n_words, all_spans, all_items = [], [], []
-                    for k, text in enumerate(part.column(1).to_pylist()):
-                        words = alnum_words(text)
-                        spans, items = search(words, automata)
-                        if not first:
-                            spans += [(x["start"], x["end"]) for x in part.column("spans")[k].as_py()]
-                            items |= set(part.column("items")[k].as_py())
-                        n_words.append(len(words))
-                        all_spans.append([{"start": s, "end": e} for s, e in merged(spans)])
-                        all_items.append(sorted(items))
-                    kept = [part.column(0)] if last else [part.column(0), part.column(1)]
-                    names = [id_col] if last else [id_col, "text"]
-                    yield pa.RecordBatch.from_arrays(
-                        kept + [pa.array(x, f.type) for x, f in zip((n_words, all_spans, all_items), FOUND)],
-                        names=names + FOUND.names,
-                    )
-
-        return scan
-
-    for k, auto in enumerate(tables):
-        last = k == len(tables) - 1
-        ddl = f"{id_ddl}, {'' if last else 'text string, '}{FOUND_DDL}"
-        df = df.mapInArrow(step(auto, k == 0, last), ddl)
-    return df
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The documents without any benchmark passage, with all their columns."""
-    tables = list(benchmark_tables(benchmark, "item_id", "text", width, BLOCK_BYTES))
+
+def reader(df: DataFrame, tables: Tables, kept: list[str], *, hit_only: bool = False):
+    """For mapInArrow over ``kept`` and the text as last column: the kept columns and what is found."""
+    shipped = df.sparkSession.sparkContext.broadcast(tuple(tables))  # at most PATTERNS patterns
+    names = [*kept, *FOUND.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shipped.value
+        for batch in batches:
+            for part in slices(batch):
+                rows = [scan(tables, alnum_words(t)) for t in part.column(part.num_columns - 1).to_pylist()]
+                found = pa.RecordBatch.from_pylist(rows, FOUND)
+                out = pa.RecordBatch.from_arrays(part.columns[:-1] + found.columns, names=names)
+                yield out.filter(pa.array([bool(r["spans"]) for r in rows], pa.bool_())) if hit_only else out
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", width: int = WIDTH, patterns: int = PATTERNS) -> DataFrame:
+    """The documents without any benchmark passage, with all their columns.
+
+    A benchmark of several tables takes one pass each, with what the others left written between.
+    """
     at = docs.columns.index(text_col)
+    context = docs.sparkSession.sparkContext
+
+    def step(tables: Tables):
+        shipped = context.broadcast(tuple(tables))
 
-    def step(auto: Broadcast):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automata = auto.value
+            tables = shipped.value
             for batch in batches:
-                clean = [not search(alnum_words(t.as_py()), automata)[0] for t in batch.column(at)]
+                clean = [not search(alnum_words(t.as_py()), tables)[0] for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return keep
 
-    for auto in tables:
-        docs = docs.mapInArrow(step(auto), docs.schema)
+    for k, tables in enumerate(benchmark_tables(benchmark, "item_id", "text", width, patterns)):
+        docs = (cut(docs) if k else docs).mapInArrow(step(tables), docs.schema)
     return docs
 
 
