@@ -105,12 +105,37 @@ def test_secret_base_equals_brute_force_and_network_adds(spark):
 
 
 def test_secret_network_on_held_out_findings():
+    """Formats and surroundings it was not trained on: recall with its interval, and precision, by shape."""
     net = secrets.trained()
-    texts, y = secrets.labelled_findings(1500, 4242)
-    p = net.probability(np.array([secrets.encoded(*t)[0] for t in texts]))
-    found = p >= net.threshold
-    assert found[y == 1].mean() >= secrets.RECALL - 0.03
-    assert y[found].mean() > 0.95
+    texts, y = secrets.labelled_findings(3000, 4242, other=True)
+    p = secrets.sigmoid(net.scale * secrets.best_of(net, texts) + net.shift)
+    kind = np.array([secrets.shape(*t) for t in texts])
+    for k in (0, 1):
+        own, secret = kind == k, y[kind == k] == 1
+        found = p[own] >= net.thresholds[k]
+        n, recall = secret.sum(), found[secret].mean()
+        assert recall + 1.96 * (0.02 * 0.98 / n) ** 0.5 >= secrets.RECALL - 0.01
+        assert secret[found].mean() > 0.9
+    bins = [(p >= a / 5) & (p <= (a + 1) / 5) for a in range(5)]
+    assert sum(abs(p[b].mean() - y[b].mean()) * b.sum() for b in bins if b.any()) / len(p) < 0.05
+
+
+def test_secrets_that_only_the_network_finds(spark):
+    found = {"pw is correcthorsebattery9": True, "login Tr0ub4dor&3xK": True, "see commit 9B1F0A3E5C7D9B1F0A3E5C7D9B1F0A3E5C7D9B1F": None, "onbleeron*** thererthan%%% wheredshe!!!": False, "read https://www.x.org/a/b2/c and 2024-05-06T10:11:12": False}
+    rows = secrets.find_secrets(documents(spark, list(found))).orderBy("doc_id").collect()
+    for (text, hit), r in zip(found.items(), rows):
+        assert hit is None or bool(r.spans) == hit, (text, r.spans)
+
+
+def test_secret_scan_of_one_long_token():
+    """Five million characters without a break are read in windows, not held as windows."""
+    import tracemalloc
+
+    net, text = secrets.Network(0), "aB3" * 1_700_000
+    tracemalloc.start()
+    scores = secrets.scored(net, [(0, 0, len(text))], [text])
+    assert list(scores[0]) == [(0, len(text))] and tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
 
 
 # html

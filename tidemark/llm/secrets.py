@@ -1,15 +1,18 @@
 """Secret scan: fixed patterns plus a character convolutional network over candidates.
 
-The patterns find assignments, access keys and hexadecimal runs.  Every other run of
-token characters (16 or more, with a digit or a change of case) is a candidate: the
-network reads its characters and the text on both sides, and keeps it where the
-calibrated probability reaches a threshold chosen on held-out findings so that recall
-there stays at ``RECALL`` or more.
+The patterns find assignments, access keys and hexadecimal runs.  Every run of token
+characters (10 or more, with a digit, a sign or a change of case) is a candidate, those
+that the patterns found as well: the network reads its characters and the text on both
+sides and gives a calibrated probability.  A pattern's finding keeps its place whatever its
+score; any other candidate, unless it lies within one, is a finding where its probability
+reaches the threshold of its shape.
 
 The network is trained on the driver, from a seed, on labelled findings that
 ``labelled_findings`` writes: secrets of public formats in the places they leak, and
-look-alikes (hashes of commits, identifiers, paths, numbers, addresses, placeholders).
-That cost is fixed; scoring is row-local and needs no shuffle.
+look-alikes (hashes of commits, identifiers, paths, numbers, addresses, placeholders, words
+with noise).  It is calibrated, and the thresholds are chosen so that recall stays at
+``RECALL`` or more, on findings of other formats in other surroundings than those it was
+trained on, one half each.  That cost is fixed; scoring is row-local and needs no shuffle.
 
 Defined results: a null or empty text has no findings; repeated rows are judged each on
 its own; an empty table gives an empty result; other columns are never read.  Positions
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,18 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "cnn")
 
-RUN = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+RUN = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{10,}")
+MIXED = re.compile(r"[0-9!@#$%^&*]|[a-z][A-Z]")
+#: What ends a sentence or is noise after a word is no part of a candidate.
+TAIL = re.compile(r"(?:[.!]+|([%&*#$])\1\1+[.!]*)$")
+LEAST = 10
 
 LEFT, MIDDLE, RIGHT, STRIDE = 24, 64, 12, 48
 WIDTH, EMBED, FILTERS, HIDDEN = 5, 12, 24, 16
 RECALL = 0.98
-EXAMPLES = 6000
+EXAMPLES = 7000
+#: Windows that are scored at once, however long a text or a candidate is.
+WINDOWS = 4096
 
 #: Character classes: 0 outside the text, 1-95 printable ASCII, 96 other ASCII, 97 the rest.
 CLASSES = 98
@@ -65,31 +73,49 @@ def base_findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int
     return sorted(found), runs
 
 
-def char_class(c: str) -> int:
-    o = ord(c)
-    return o - 31 if 32 <= o <= 126 else 96 if o < 128 else 97
+CLASS_OF = np.array([o - 31 if 32 <= o <= 126 else 96 for o in range(128)], np.uint8)
 
 
-CLASS_OF = {chr(o): char_class(chr(o)) for o in range(128)}
+def classes_of(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(codes < 128, CLASS_OF[np.minimum(codes, 127)], 97).astype(np.uint8)
 
 
-def encoded(text: str, start: int, end: int) -> list[list[int]]:
+def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for s, e in runs:
+        tail = TAIL.search(text, max(s, e - 64), e)
+        e = tail.start() if tail else e
+        if e - s >= LEAST and MIXED.search(text, s, e):
+            yield s, e
+
+
+def encoded(classes: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
     """Windows over a candidate: left context, at most MIDDLE of its characters, right context.
 
     A longer candidate is read in overlapping windows to its end.
     """
-    left = text[max(0, start - LEFT) : start].rjust(LEFT, "\0")
-    right = text[end : end + RIGHT].ljust(RIGHT, "\0")
-    out = []
+    left, right = classes[max(0, start - LEFT) : start], classes[end : end + RIGHT]
     at = start
     while True:
-        mid = text[at : min(at + MIDDLE, end)].ljust(MIDDLE, "\0")
-        out.append([0 if c == "\0" else CLASS_OF.get(c, 97) for c in left + mid + right])
+        out = np.zeros(LEFT + MIDDLE + RIGHT, np.uint8)
+        middle = classes[at : min(at + MIDDLE, end)]
+        out[LEFT - len(left) : LEFT] = left
+        out[LEFT : LEFT + len(middle)] = middle
+        out[LEFT + MIDDLE : LEFT + MIDDLE + len(right)] = right
+        yield out
         if at + MIDDLE >= end:
-            return out
+            return
         at += STRIDE
 
 
+def shape(text: str, start: int, end: int) -> int:
+    return 0 if end - start < 16 or re.search(r"[!@#$%^&*]", text[start:end]) else 1
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
 class Network:
     """Embedding, one convolution, maxima over each segment, a hidden layer, one logit."""
 
@@ -103,7 +129,7 @@ class Network:
         self.hid_b = np.zeros(HIDDEN, "f4")
         self.out = r.normal(0, HIDDEN**-0.5, HIDDEN).astype("f4")
         self.out_b = np.zeros(1, "f4")
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5)  # by shape
 
     NAMES = ("embed", "conv", "conv_b", "hid", "hid_b", "out", "out_b")
     SEGMENTS = ((0, LEFT), (LEFT, LEFT + MIDDLE), (LEFT + MIDDLE, LEFT + MIDDLE + RIGHT))
@@ -156,71 +182,121 @@ class Network:
         return np.concatenate([self.forward(x[i : i + rows])["z"] for i in range(0, len(x), rows)])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.logits(x).astype("f8") + self.shift)))
+        return sigmoid(self.scale * self.logits(x).astype("f8") + self.shift)
 
 
-def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
-    """n (text, start, end) with labels: 1 a secret, 0 a look-alike."""
+def labelled_findings(n: int, seed: int, other: bool = False) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """n (text, start, end) with labels: 1 a secret, 0 a look-alike; ``other`` formats and surroundings, or those to train on."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
+    size = lambda lo, hi: int(r.integers(lo, hi))
     chars = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(len(alphabet), size=k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     any_case = lower + upper + digits
     hexes = digits + "abcdef"
-    parts = ["the", "er", "tion", "ou", "an", "re", "ent", "lich", "que", "os", "ar", "in", "é", "ü", "ción", "st"]
-    word = lambda: "".join(pick(parts) for _ in range(int(r.integers(1, 4))))
+    parts = ["the", "er", "tion", "ou", "an", "re", "ent", "lich", "que", "os", "ar", "in", "é", "ü", "ción", "st", "wh", "sh", "ble", "ung", "ment", "ado"]
+    word = lambda hi=4: "".join(pick(parts) for _ in range(size(1, hi)))
+    long_word = lambda: ("".join(pick(parts) for _ in range(size(4, 8))).replace("é", "e").replace("ü", "u").replace("ó", "o")).ljust(10, "a")
     prose = lambda k: " ".join(word() for _ in range(k)) + pick(["", ".", ","])
     uuid = lambda: "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))
+    noise = lambda: pick(["%%%", "&&&", "***", "###", "$$$"])
+    names = ["horse", "battery", "staple", "dragon", "monkey", "summer", "winter", "london", "purple", "coffee", "silver", "tiger"]
+    phrase = lambda: ("".join(pick(names) for _ in range(size(2, 4))) + chars(digits, size(1, 5)))
+    hard = lambda: chars(any_case, size(4, 8)) + pick("!@#$%^&*") + chars(any_case + "!@#$%^&*", size(6, 12))
+    word_of = ["password ", "pw ", "pass ", "passwd: ", "login ", "pwd: ", "passphrase ", "password is ", "pw was ", "pass: '", "user admin/", "secret is ", "key word: ", "login as "] if not other else ["the password is ", "pw is ", "my pass was ", "pwd = '", "credentials root/", "secret word: ", "login with "]
     secrets = [
-        lambda: (pick(["key: ", "credentials = ", "auth=", "pwd: ", "client_key = '", "Authorization: Bearer ", "access: ", "private_key=\"", "SECRET ", "passphrase "]), chars(any_case, int(r.integers(18, 48)))),
-        lambda: (pick(["", "aws ", "id = ", "secret_access_key: "]), chars(any_case + "+/", 40)),
-        lambda: (pick(["", "use ", "export GH=", "git clone https://"]), pick(["ghp_", "gho_", "ghs_"]) + chars(any_case, 36)),
-        lambda: (pick(["", "stripe ", "key "]), pick(["sk_live_", "rk_live_", "sk_test_"]) + chars(any_case, 24)),
-        lambda: (pick(["", "hook "]), "xoxb-" + chars(digits, 11) + "-" + chars(any_case, 24)),
-        lambda: (pick(["", "Bearer ", "jwt "]), "eyJ" + chars(any_case, 20) + "." + "eyJ" + chars(any_case, 30) + "." + chars(any_case + "_-", 40)),
-        lambda: (pick(["", "maps "]), "AIza" + chars(any_case + "_-", 35)),
-        lambda: (pick(["PRIVATE KEY-----\n", "KEY-----\n"]), "MII" + chars(any_case + "+/", 61)),
-        lambda: (pick(["login ", "pass ", "pw=", "connect user:"]), chars(any_case + "_.-", int(r.integers(16, 32)))),
-        lambda: (pick(["glpat=", "", "npm "]), pick(["glpat-", "npm_", "pypi-"]) + chars(any_case + "_-", int(r.integers(20, 40)))),
+        lambda: (pick(word_of), phrase()),
+        lambda: (pick(word_of), hard()),
     ]
+    if not other:
+        secrets += [
+            lambda: (pick(["key: ", "credentials = ", "auth=", "client_key = '", "Authorization: Bearer ", "access: ", "private_key=\"", "SECRET ", "passphrase "]), chars(any_case, size(18, 48))),
+            lambda: (pick(["", "aws ", "id = ", "secret_access_key: "]), chars(any_case + "+/", 40)),
+            lambda: (pick(["", "use ", "export GH=", "git clone https://"]), pick(["ghp_", "gho_", "ghs_"]) + chars(any_case, 36)),
+            lambda: (pick(["", "stripe ", "key "]), pick(["sk_live_", "rk_live_", "sk_test_"]) + chars(any_case, 24)),
+            lambda: (pick(["", "hook "]), "xoxb-" + chars(digits, 11) + "-" + chars(any_case, 24)),
+            lambda: (pick(["", "Bearer ", "jwt "]), "eyJ" + chars(any_case, 20) + "." + "eyJ" + chars(any_case, 30) + "." + chars(any_case + "_-", 40)),
+            lambda: (pick(["PRIVATE KEY-----\n", "KEY-----\n"]), "MII" + chars(any_case + "+/", 61)),
+        ]
+    else:
+        secrets += [
+            lambda: (pick(["Token ", "apikey ", "x-api-key: ", "--key ", "bearer: "]), chars(any_case, size(20, 44))),
+            lambda: (pick(["", "maps ", "firebase "]), "AIza" + chars(any_case + "_-", 35)),
+            lambda: (pick(["glpat=", "", "npm ", "registry "]), pick(["glpat-", "npm_", "pypi-", "ghu_"]) + chars(any_case + "_-", size(20, 40))),
+            lambda: (pick(["", "mail "]), "SG." + chars(any_case + "_-", 22) + "." + chars(any_case + "_-", 43)),
+            lambda: (pick(["key ", "pem "]), chars(any_case + "+/", 64)),
+        ]
     benign = [
-        lambda: (pick(["commit ", "sha ", "merge ", "rev "]), chars(hexes, 40)),
-        lambda: (pick(["id ", "uuid: ", "urn:", "session "]), uuid()),
-        lambda: (pick(["/", "http://", "https://www.", "see "]), "/".join(word().encode("ascii", "ignore").decode() + chars(digits, int(r.integers(0, 3))) for _ in range(4)).ljust(18, "a")),
-        lambda: (pick(["", "card ", "no. ", "account "]), chars(digits, int(r.integers(16, 22)))),
-        lambda: (pick(["", "version ", "on "]), f"{chars(digits, 4)}-{chars(digits, 2)}-{chars(digits, 2)}T{chars(digits, 6)}.{chars(digits, 3)}"),
-        lambda: (pick(["key = ", "password: ", "api ", "auth="]), pick(["your_api_key_here1", "xxxxxxxxxxxxxxxx1", "changeme1changeme1", "EXAMPLE_KEY_000000", "replace-with-token-1", "0000000000000000"])),
-        lambda: (pick(["base64,", "data:image/png;base64,"]), "iVBORw0KGgo" + chars(any_case + "+/", 60)),
-        lambda: (pick(["file ", "in ", "module "]), "_".join(pick(["get", "set", "data", "value2", "test", "utils", "index", "main"]) for _ in range(4)).ljust(17, "1")),
-        lambda: (pick(["mail ", "an ", ""]), pick(["user", "info", "team"]) + "." + chars(lower, 8) + chars(digits, 5) + ".example.com"),
-        lambda: (prose(1) + " ", "".join(pick(["ther", "erse", "tion", "anoc", "ringe"]) for _ in range(5)) + pick(["2", "Ab", "7.5", "-X1"])),
-        lambda: (pick(["", "= "]), pick(["====", "----", "-.-.", "____"]) * 6 + chars(digits, 1)),
-        lambda: (pick(["const ", "new ", "class "]), "".join(pick(["Abstract", "Factory", "Handler", "Stream", "Window"]) for _ in range(3))),
+        lambda: (pick(["", prose(1) + " "]), long_word() + pick([noise(), "!!!", "", "2", "-" + word(2) + "1"])),
+        lambda: (pick(["", "= "]), pick(["====", "----", "-.-.", "____", "****", "#-#-"]) * 6 + chars(digits, 1)),
+        lambda: (pick(["", prose(1) + " "]), long_word() + noise() + pick(["", noise()]) + chars(lower, size(0, 3))),
     ]
+    if not other:
+        benign += [
+            lambda: (pick(["commit ", "sha ", "merge ", "rev "]), chars(hexes, 40)),
+            lambda: (pick(["id ", "uuid: ", "urn:", "session "]), uuid()),
+            lambda: (pick(["/", "http://", "https://www.", "see "]), "/".join(word().encode("ascii", "ignore").decode() + chars(digits, size(0, 3)) for _ in range(4)).ljust(18, "a")),
+            lambda: (pick(["", "card ", "no. ", "account "]), chars(digits, size(12, 22))),
+            lambda: (pick(["", "version ", "on "]), f"{chars(digits, 4)}-{chars(digits, 2)}-{chars(digits, 2)}T{chars(digits, 6)}.{chars(digits, 3)}"),
+            lambda: (pick(["key = ", "password: ", "api ", "auth="]), pick(["your_api_key_here1", "xxxxxxxxxxxxxxxx1", "changeme1changeme1", "EXAMPLE_KEY_000000", "replace-with-token-1", "0000000000000000"])),
+            lambda: (pick(["base64,", "data:image/png;base64,"]), "iVBORw0KGgo" + chars(any_case + "+/", 60)),
+            lambda: (pick(["file ", "in ", "module "]), "_".join(pick(["get", "set", "data", "value2", "test", "utils", "index", "main"]) for _ in range(4)).ljust(17, "1")),
+            lambda: (pick(["mail ", "an ", "", "re."]), pick(["user", "info", "team", word(2).encode("ascii", "ignore").decode()]) + "." + chars(digits, 2) + "@mail" + chars(digits, 1) + ".example.com"),
+            lambda: (pick(["", prose(1) + " "]), word(3).encode("ascii", "ignore").decode() + "o" + pick([".", "_", ""]) + chars(digits, size(0, 4)) + "@" + pick(["mail", "post", "x", word(2).encode("ascii", "ignore").decode() + "a"]) + chars(digits, size(0, 2)) + pick([".example", "", ".co"]) + pick([".com", ".org", ".de", ".fr", ".uk"])),
+            lambda: (pick(["type ", "", "see "]), "".join(pick(["Image", "Local", "Index", "Query", "Base", "Thread", "Event"]) for _ in range(size(2, 5)))),
+            lambda: (pick(["token ", "secret ", "pass ", "key: "]), pick(["your", "some", "my", "test", "demo", "PUT", "add"]) + pick(["-", "_"]) + pick(["token", "KEY", "secret", "value", "password"]) + pick(["-", "_"]) + pick(["here", "HERE", "goes", "1", "here123", "42"])),
+            lambda: (prose(1) + " ", "".join(pick(["ther", "erse", "tion", "anoc", "ringe"]) for _ in range(5)) + pick(["2", "Ab", "7.5", "-X1"])),
+            lambda: (pick(["const ", "new ", "class "]), "".join(pick(["Abstract", "Factory", "Handler", "Stream", "Window"]) for _ in range(3))),
+            lambda: (pick(["at ", "from ", ""]), ".".join(str(size(1, 255)) for _ in range(4)) + pick(["", "/24", "-" + chars(digits, 2)])),
+        ]
+    else:
+        benign += [
+            lambda: (pick(["etag ", "digest ", "blob ", "HEAD is "]), chars(hexes, pick([32, 40, 64]))),
+            lambda: (pick(["request ", "trace=", "{"]), uuid()),
+            lambda: (pick(["www.", "ftp://", "path ", "from "]), ".".join(word().encode("ascii", "ignore").decode() + "x" for _ in range(4)).ljust(14, "b") + "/" + chars(digits, 4)),
+            lambda: (pick(["tel ", "order ", "isbn "]), "-".join(chars(digits, k) for k in (3, 1, 4, 4, 1))),
+            lambda: (pick(["", "built ", "tag "]), f"v{chars(digits, 1)}.{chars(digits, 2)}.{chars(digits, 2)}-rc{chars(digits, 1)}"),
+            lambda: (pick(["token ", "password ", "pw: "]), pick(["INSERT_TOKEN_HERE_1", "************", "example1example1", "aaaaaaaaaaaa1", "dummy-value-123456"])),
+            lambda: (pick(["contact ", "cc ", ""]), word(2).encode("ascii", "ignore").decode() + "a" + chars(digits, 2) + "@" + pick(["post", "corp", "web"]) + ".example.org"),
+            lambda: (pick(["call ", "import ", "def "]), pick(["parse", "write", "open"]) + "_" + pick(["header", "table", "rows"]) + pick(["_v2", "_utf8", "_2nd"]).ljust(5, "x")),
+            lambda: (pick(["", "type "]), "".join(pick(["Simple", "Default", "Remote", "Cache", "Node"]) for _ in range(3))),
+        ]
     texts, labels = [], np.zeros(n, "f4")
     for k in range(n):
         labels[k] = k % 2
         lead, token = pick(secrets if k % 2 else benign)()
-        before = prose(int(r.integers(0, 5)))
+        tail = TAIL.search(token)
+        end = tail.start() if tail and tail.start() >= LEAST else len(token)
+        before = prose(size(0, 5))
         head = before + pick([" ", "\n", " | "]) + lead
-        texts.append((head + token + pick([" ", "\n", '" ', "', ", ".", "@"[: k % 2 == 0] + " ", ";"]) + prose(3), len(head), len(head) + len(token)))
+        texts.append((head + token + pick([" ", "\n", '" ', "', ", ". ", "; "]) + prose(3), len(head), len(head) + end))
     return texts, labels
 
 
-def trained(seed: int = 7, examples: int = EXAMPLES, epochs: int = 6) -> Network:
-    """The network, calibrated on one held-out part and cut on another."""
-    texts, y = labelled_findings(examples, seed)
-    x = np.array([encoded(*t)[0] for t in texts])
-    order = np.random.default_rng(seed).permutation(examples)
-    a, b = int(examples * 0.7), int(examples * 0.85)
-    fit, calibrate, cut = order[:a], order[a:b], order[b:]
+def windows_of(texts: list[tuple[str, int, int]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of every finding, and its label."""
+    rows = [(w, y) for (text, s, e), y in zip(texts, labels) for w in encoded(classes_of(text), s, e)]
+    return np.array([w for w, _ in rows]), np.array([y for _, y in rows], "f4")
+
+
+def best_of(net: Network, texts: list[tuple[str, int, int]]) -> np.ndarray:
+    """The largest logit of each finding's windows."""
+    own = [np.array(list(encoded(classes_of(t), s, e))) for t, s, e in texts]
+    z = net.logits(np.concatenate(own)).astype("f8")
+    at = np.cumsum([0] + [len(o) for o in own[:-1]])
+    return np.maximum.reduceat(z, at)
+
+
+def trained(seed: int = 7, examples: int = EXAMPLES, epochs: int = 5) -> Network:
+    """The network, trained on one kind of findings, calibrated and cut on two halves of the other kind."""
+    x, y = windows_of(*labelled_findings(examples, seed))
     net = Network(seed)
     r = np.random.default_rng(seed + 1)
     m = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
     v = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
     step = 0
-    for _ in range(epochs):
-        r.shuffle(fit)
+    for epoch in range(epochs):
+        fit = r.permutation(len(x))
         for at in range(0, len(fit), 64):
             rows = fit[at : at + 64]
             g = net.gradients(net.forward(x[rows]), y[rows])
@@ -228,35 +304,55 @@ def trained(seed: int = 7, examples: int = EXAMPLES, epochs: int = 6) -> Network
             for n in net.NAMES:
                 m[n] = 0.9 * m[n] + 0.1 * g[n]
                 v[n] = 0.999 * v[n] + 0.001 * g[n] ** 2
-                rate = 0.004 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                rate = 0.004 * 0.8**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 setattr(net, n, (getattr(net, n) - rate * m[n] / (np.sqrt(v[n]) + 1e-8)).astype("f4"))
-    z, t = net.logits(x[calibrate]).astype("f8"), y[calibrate]
-    scale, shift = 1.0, 0.0
-    for _ in range(200):  # Platt's two parameters by Newton steps with a ridge
-        p = 1 / (1 + np.exp(-(scale * z + shift)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - t) * z).sum() + 1e-3 * (scale - 1), (p - t).sum()])
-        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-        d = np.linalg.solve(h, g)
-        scale, shift = scale - d[0], shift - d[1]
-        if abs(d).max() < 1e-9:
-            break
+    texts, labels = labelled_findings(examples // 2, seed + 100, other=True)
+    half = len(texts) // 2
+    z, t = best_of(net, texts[:half]), labels[:half]
+    scale, shift = platt(z, t)
     net.scale, net.shift = float(scale), float(shift)
-    p, t = net.probability(x[cut]), y[cut] == 1
-    best = -1.0
-    for at in np.unique(p[t]):  # of the thresholds that keep the recall, the lowest with the best F1
-        hit = (p >= at) & t
-        recall, precision = hit.sum() / t.sum(), hit.sum() / (p >= at).sum()
+    p = sigmoid(scale * best_of(net, texts[half:]) + shift)
+    kind = np.array([shape(*f) for f in texts[half:]])
+    net.thresholds = tuple(recall_threshold(p[kind == k], labels[half:][kind == k] == 1) for k in (0, 1))
+    return net
+
+
+def platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make logits chances, by Newton steps that are halved until the loss falls."""
+    n = t.sum()
+    t = np.where(t > 0, (n + 1) / (n + 2), 1 / (len(t) - n + 2))  # targets a little inside 0 and 1
+    loss = lambda a, b: float(np.logaddexp(0, a * z + b).sum() - (t * (a * z + b)).sum())
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = sigmoid(a * z + b)
+        w = p * (1 - p) + 1e-9
+        g = np.array([((p - t) * z).sum(), (p - t).sum()])
+        h = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        d, size = np.linalg.solve(h, g), 1.0
+        while loss(a - size * d[0], b - size * d[1]) > loss(a, b) and size > 1e-6:
+            size /= 2
+        a, b = a - size * d[0], b - size * d[1]
+        if size * abs(d).max() < 1e-6:
+            break
+    return a, b
+
+
+def recall_threshold(p: np.ndarray, secret: np.ndarray) -> float:
+    """Of the thresholds that keep recall at ``RECALL``, the one with the best F1."""
+    best, out = -1.0, 0.5
+    for at in np.unique(p[secret]):
+        hit = (p >= at) & secret
+        recall, precision = hit.sum() / secret.sum(), hit.sum() / (p >= at).sum()
         f1 = 2 * recall * precision / (recall + precision)
         if recall >= RECALL and f1 > best:
-            best, net.threshold = f1, float(at)
-    return net
+            best, out = f1, float(at)
+    return out
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", net: Network | None = None) -> DataFrame:
     """One row for each document row: id and its findings (start, end, kind, score)."""
     net = net or trained()
-    shipped = docs.sparkSession.sparkContext.broadcast({k: getattr(net, k) for k in (*net.NAMES, "scale", "shift", "threshold")})
+    shipped = docs.sparkSession.sparkContext.broadcast({k: getattr(net, k) for k in (*net.NAMES, "scale", "shift", "thresholds")})
     df = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     ddl = f"`{id_col}` {df.schema[0].dataType.simpleString()}, spans array<struct<start:bigint,`end`:bigint,kind:string,score:double>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
@@ -266,29 +362,48 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         vars(model).update(shipped.value)
         for batch in batches:
             for part in slices(batch):
-                spans, windows, owners = [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    text = text or ""
-                    found, runs = base_findings(text)
-                    spans.append([(s, c, e, 1.0) for s, c, e in found])
-                    for s, e in runs:
-                        if MIXED.search(text, s, e) and not any(a < e and s < b for a, _, b in found):
-                            for w in encoded(text, s, e):
-                                windows.append(w)
-                                owners.append((k, s, e))
-                if windows:
-                    best: dict = {}
-                    for o, p in zip(owners, model.probability(np.array(windows)).tolist()):
-                        best[o] = max(p, best.get(o, 0.0))
-                    for (k, s, e), p in best.items():
-                        if p >= model.threshold:
-                            spans[k].append((s, 3, e, p))
-                rows = [[{"start": s, "end": e, "kind": KINDS[c], "score": p} for s, c, e, p in sorted(x)] for x in spans]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = [base_findings(t) for t in texts]
+                scores = scored(model, ((k, s, e) for k, t in enumerate(texts) for s, e in candidates(t, found[k][1])), texts)
+                rows = []
+                for k, text in enumerate(texts):
+                    base, own = found[k][0], scores.get(k, {})
+                    spans = [(s, c, e, max((p for (a, b), p in own.items() if a < e and s < b), default=0.0)) for s, c, e in base]
+                    for (s, e), p in own.items():
+                        if p >= model.thresholds[shape(text, s, e)] and not any(a <= s and e <= b for a, _, b in base):
+                            spans.append((s, 3, e, p))
+                    rows.append([{"start": s, "end": e, "kind": KINDS[c], "score": p} for s, c, e, p in sorted(spans)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 
     return df.mapInArrow(scan, ddl)
 
 
+def scored(model: Network, some: Iterable[tuple[int, int, int]], texts: list[str]) -> dict[int, dict[tuple[int, int], float]]:
+    """For each text the probability of its candidates; at most ``WINDOWS`` windows are held at once."""
+    out: dict[int, dict[tuple[int, int], float]] = {}
+    windows, owners = [], []
+    last, classes = -1, np.zeros(0, np.uint8)
+
+    def flush() -> None:
+        if windows:
+            for (k, s, e), p in zip(owners, model.probability(np.array(windows)).tolist()):
+                own = out.setdefault(k, {})
+                own[s, e] = max(p, own.get((s, e), 0.0))
+            windows.clear()
+            owners.clear()
+
+    for k, s, e in some:
+        if k != last:
+            last, classes = k, classes_of(texts[k])
+        for w in encoded(classes, s, e):
+            windows.append(w)
+            owners.append((k, s, e))
+            if len(windows) >= WINDOWS:
+                flush()
+    flush()
+    return out
+
+
 def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
