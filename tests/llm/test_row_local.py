@@ -176,6 +176,50 @@ def test_html_on_supplied_pages(spark, data):
         assert found[r.page_id] == "\n".join(inside)
 
 
+def test_html_of_one_long_page_among_small_ones():
+    """Small pages are not filled up to a long one, and the labels are those of the pages alone."""
+    import tracemalloc
+
+    net, vectors = html.Labeller(3), html.Vectors()
+    long = "<body>" + "".join(f"<div class='c{k % 9}'><p>word{k} and more</p>" + "</div>" for k in range(60_000))
+    pages = [vectors.page(html.blocks(p)) for p in [PAGE, long, *[PAGE] * 126]]
+    tracemalloc.start()
+    found = net.probabilities(pages)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert np.allclose(found[0], net.probabilities([pages[0]])[0], atol=1e-5) and len(found[1]) == 60_000
+    x, mask, _ = net.inputs(pages[2:4])
+    for way in "fb":
+        assert np.allclose(net.hidden(x, mask, way), net.run(x, mask, way)[0], atol=1e-5)
+
+
+#: Whole pages with their main text as a person would mark it, beside the markup the labeller is not told about.
+MARKED = [
+    (PAGE, "Head & shoulders\nOne line of text.\nSecond <line> here."),
+    ("<html><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><article><h2>T&uuml;r</h2><p>a<br>b</p><blockquote>c &amp; d</blockquote></article><aside><p>See also this</p></aside><footer>&copy; all</footer></body></html>", "Tür\na\nb\nc & d"),
+    ("<div id=cookie-banner><p>We use cookies here to track</p></div><article><p>Only\n\t one   block of text here.</p><form><label>Mail</label><button>Go</button></form></article><div class='comments'><h3>Comments</h3><p>I agree with all of this</p></div>", "Only one block of text here."),
+]
+
+
+def test_html_on_marked_pages(spark):
+    found = {r.page_id: r.text for r in html.extract(pages(spark, [p for p, _ in MARKED])).collect()}
+    assert [found[k] for k in range(len(MARKED))] == [t for _, t in MARKED]
+
+
+def test_html_of_supplied_pages_by_plain_patterns(spark, data):
+    """What lies inside the article element, cut by another reading than the operator's own parser."""
+    from html import unescape
+
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    found = {r.page_id: r.text for r in html.extract(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    for r in rows:
+        inside = "".join(re.findall(r"<article\b[^>]*>(.*?)(?:</article>|$)", r.html or "", re.S | re.I))
+        inside = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inside, flags=re.S | re.I)
+        lines = re.split(r"</?(?!(?:a|b|i|em|strong|span|u|s|sup|sub|code|small|mark)\b)[a-zA-Z][^>]*>", inside, flags=re.I)
+        texts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in lines]
+        assert found[r.page_id] == "\n".join(t for t in texts if t), r.url
+
+
 # packing
 
 

@@ -6,7 +6,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,15 +56,36 @@ def pieces(column, gaps: str) -> F.Column:
     return F.array_remove(F.split(column, gaps), "")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that Python objects of a few hundred texts live at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About the bytes of each row's texts, binary values and lists."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            out += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            out += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that Python objects of a few hundred texts, or of about ``size`` bytes, live at once."""
+    ends = np.cumsum(row_bytes(batch))
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        end = min(at + rows, max(full, at + 1), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; the warehouse serves where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder under spark.checkpoint.dir; on one machine the warehouse serves where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 

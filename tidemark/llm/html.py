@@ -264,15 +264,38 @@ class Labeller:
         np.add.at(g["word"], seen["ids_w"], np.repeat(dv[:, PATH_DIM : PATH_DIM + WORD_DIM] / seen["nw"][:, None], seen["nw"], 0))
         return loss, g
 
-    def probabilities(self, pages: list, rows: int = 128) -> list[np.ndarray]:
-        """For each page the chance of each block to be part of the article; pages of like size go together."""
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def probabilities(self, pages: list, rows: int = 128, room: int = 60_000) -> list[np.ndarray]:
+        """For each page the chance of each block to be part of the article.
+
+        Pages of like size go together, as many as fit in ``room`` blocks with what fills them up.
+        """
         out: list = [np.zeros(0, "f4")] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k][0])), key=lambda k: len(pages[k][0]))
-        for at in range(0, len(order), rows):
-            some = order[at : at + rows]
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < min(len(order), at + rows) and (end + 1 - at) * len(pages[order[end]][0]) <= room:
+                end += 1
+            some, at = order[at:end], end
             x, mask, _ = self.inputs([pages[k] for k in some])
-            h = np.concatenate([self.run(x, mask, "f")[0], self.run(x, mask, "b")[0]], 2)
-            p = sigmoid(h @ self.out + self.out_b[0])
+            h = self.hidden(x, mask, "f") @ self.out[:HIDDEN] + self.hidden(x, mask, "b") @ self.out[HIDDEN:]
+            p = sigmoid(h + self.out_b[0])
             for j, k in enumerate(some):
                 out[k] = p[j, : len(pages[k][0])]
         return out
