@@ -7,8 +7,10 @@ import sys
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import scalars as X
-from tidemark.operators import catalog
+from tidemark.operators import catalog, rollup
 from tidemark.plans import catalogue
 from tidemark.schema import POINTS
 from tidemark.sources import files, generators
@@ -124,5 +126,49 @@ def test_names_and_numbers(spark):
 
 def test_places_do_not_depend_on_buckets(spark):
     df = spark.range(500).selectExpr("concat('s', id % 3) AS series", "(id * 7919) % 500 AS seq", "id AS timestamp", "0D AS value")
-    one, many = (catalog.place_in_series(df, "seq", n).select("series", "seq", "place").orderBy("series", "seq").collect() for n in (None, 7))
+    one, many = (catalog.place_in_series(df, "seq", n).select("series", "seq", "place").orderBy("series", "seq").collect() for n in (10**6, 7))
     assert one == many and [r.place for r in one[:4]] == [0, 1, 2, 3]
+
+
+def test_windows_over_buckets_equal_those_over_whole_series(spark):
+    """Steps, changes and runs do not depend on how the order is cut, skewed orders and tiny buckets included."""
+    import random
+
+    r = random.Random(4)
+    rows = [(s, r.choice([k, 10**12 + k]), k * 3 + s, float(r.randrange(4))) for s in range(3) for k in range(60 if s else 1)]
+    df = spark.createDataFrame([(f"s{s}", q, t, v) for s, q, t, v in rows], "series string, seq long, timestamp long, value double")
+    for step in (rollup.deltas, rollup.value_changes, rollup.resets):
+        one, many = (sorted(map(tuple, step(df, rows_per_bucket=n).collect()), key=lambda x: x[:2]) for n in (10**6, 5))
+        assert one == many, step.__name__
+    plans = [step(df, rows_per_bucket=5)._jdf.queryExecution().optimizedPlan().toString() for step in (rollup.deltas, rollup.resets)]
+    assert all("__b" in p for p in plans)
+
+
+def test_bounds_of_dates_and_coarse_units_are_exact_and_pushed(spark, tmp_path):
+    import datetime
+
+    from tidemark.sources.points import Points
+
+    day = 86_400_000_000
+    df = spark.createDataFrame([("a", datetime.date(1970, 1, k + 1), float(k)) for k in range(9)], "series string, timestamp date, value double")
+    got = lambda low, high, **o: sorted(r.value for r in Points(df).select(low, high, **o).collect())
+    assert got(2 * day, 4 * day) == [2.0, 3.0, 4.0] and got(2 * day + 1, 4 * day - 1) == [3.0]
+    assert got(2 * day, 4 * day, closed=False) == [2.0, 3.0]
+    spark.sql("SELECT 'a' AS series, timestamp_micros(id * 700) AS timestamp, double(id) AS value FROM range(20)").write.parquet(f"{tmp_path}/t")
+    points = Points(spark.read.parquet(f"{tmp_path}/t"), unit="ms")
+    some = points.select(1, 6)
+    assert sorted(r.value for r in some.collect()) == [float(k) for k in range(20) if 1 <= k * 700 // 1000 <= 6]
+    assert "LessThan(timestamp" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_sums_pass_nan_and_large_numbers_on(spark):
+    from tidemark.operators.reads import average, total
+
+    df = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", float("nan")), ("b", 1.0), ("c", 1e20), ("c", 1.0)], "k string, v double")
+    got = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(total(F.col("v"), 2).alias("s"), average(F.col("v"), 2).alias("m")).collect()}
+    assert got["a"] == (0.3, 0.15) and got["b"][0] != got["b"][0] and got["c"][0] == 1e20 + 1.0
+
+
+def test_largest_value_at_the_earliest_of_all_times(spark):
+    df = spark.createDataFrame([("a", -(2**63), 5.0), ("a", 3, 5.0), ("a", 1, 4.0)], "series string, timestamp long, value double")
+    assert [tuple(r) for r in rollup.top_value(df).collect()] == [("a", 5.0, -(2**63))]

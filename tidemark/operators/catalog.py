@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio, raw_bytes
@@ -10,25 +10,60 @@ from tidemark.operators.reads import largest, least, total
 from tidemark.schema import BLOCK_POINTS
 
 
-def place_in_series(points: DataFrame, order: str = "seq", rows_per_bucket: int | None = None) -> DataFrame:
+#: Rows of all series together that one task may rank.
+BUCKET_ROWS = 4_000_000
+
+
+def bucketed(points: DataFrame, order: str, rows_per_bucket: int) -> tuple[DataFrame, bool]:
+    """Points with ``__b``, and whether that is one bucket only: buckets of the order that rise with it, of about as many rows each, whatever its distribution."""
+    n = -(-points.count() // rows_per_bucket)
+    if n <= 1:
+        return points.withColumn("__b", F.lit(0)), True
+    cuts = sorted(set(points.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [k / n for k in range(1, n)], min(0.01, 0.2 / n))))
+    edges = points.sparkSession.createDataFrame([(cuts,)], "__cuts array<double>")  # one row, a number for each bucket
+    at = F.expr(f"aggregate(sequence(1, {max(1, len(cuts)).bit_length()}), named_struct('a', 0, 'b', size(__cuts)), (s, _) -> "
+                f"if(s.a >= s.b, s, if(__cuts[(s.a + s.b) div 2] <= cast(`{order}` as double), named_struct('a', cast((s.a + s.b) div 2 + 1 as int), 'b', s.b), named_struct('a', s.a, 'b', cast((s.a + s.b) div 2 as int)))), s -> s.a)")
+    return points.crossJoin(F.broadcast(edges)).withColumn("__b", at).drop("__cuts"), False
+
+
+def carried(points: DataFrame, order: str, k: int, rows_per_bucket: int) -> tuple[DataFrame, WindowSpec, bool]:
+    """Points by bucket with the k rows before each bucket as ghosts, the window in which a row sees those before it, and
+    whether there is one bucket only.
+
+    So what looks k rows back never needs a whole series in one task; ``own`` drops the ghosts.
+    """
+    rows, single = bucketed(points, order, rows_per_bucket)
+    rows, w = rows.withColumn("__ghost", F.lit(False)), Window.partitionBy("series", "__b")
+    if single:
+        return rows, w.orderBy(order), True
+    tails = rows.withColumn("__r", F.row_number().over(w.orderBy(F.desc(order)))).filter(F.col("__r") <= k).drop("__r")
+    series = Window.partitionBy("series").orderBy("__b", order)  # k rows of each bucket
+    ahead = F.array_distinct(F.array_compact(F.array(*[F.lead("__b", i).over(series) for i in range(1, k + 1)])))
+    ghosts = tails.withColumn("__to", ahead).withColumn("__to", F.explode("__to")).filter("__to <> __b")
+    ghosts = ghosts.withColumn("__b", F.col("__to")).drop("__to").withColumn("__ghost", F.lit(True))
+    return rows.unionByName(ghosts), w.orderBy(order), False
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("__ghost")).drop("__b", "__ghost")
+
+
+def place_in_series(points: DataFrame, order: str = "seq", rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Points with ``place``: their number, from 0, by a numeric order within their series.
 
-    Without ``rows_per_bucket`` a series is ranked by one task.  With it, the range of the
-    order is cut into so many buckets that one holds about that many rows; a row's place is
-    its rank in its bucket after the rows of the series' earlier buckets.
+    A row's place is its rank in its bucket of the order after the rows of its series' earlier
+    buckets, so no task ranks more than about ``rows_per_bucket`` rows.
     """
-    if rows_per_bucket is None:
-        return points.withColumn("place", (F.row_number().over(Window.partitionBy("series").orderBy(order)) - 1).cast("long"))
-    span = points.agg(F.min(order).alias("__low"), F.max(order).alias("__high"), F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("__n"))
-    share = (F.col(order).cast("double") - F.col("__low").cast("double")) / (F.col("__high").cast("double") - F.col("__low").cast("double") + 1)
-    rows = points.crossJoin(F.broadcast(span)).withColumn("__b", F.floor(share * F.col("__n"))).drop("__low", "__high", "__n")  # one row
+    rows, single = bucketed(points, order, rows_per_bucket)
+    rank = F.row_number().over(Window.partitionBy("series", "__b").orderBy(order)) - 1
+    if single:
+        return rows.withColumn("place", rank.cast("long")).drop("__b")
     before = F.sum("__c").over(Window.partitionBy("series").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = rows.groupBy("series", "__b").agg(F.count(F.lit(1)).alias("__c")).select("series", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("series", "__b").orderBy(order)) - 1
     return rows.join(counts, ["series", "__b"]).withColumn("place", (F.col("__before") + rank).cast("long")).drop("__b", "__before")
 
 
-def numbered(points: DataFrame, block_points: int = BLOCK_POINTS, blocks_per_segment: int = 4, rows_per_bucket: int | None = None) -> DataFrame:
+def numbered(points: DataFrame, block_points: int = BLOCK_POINTS, blocks_per_segment: int = 4, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Points with block and segment numbers by order of arrival (``seq``) within their series."""
     placed = place_in_series(points, "seq", rows_per_bucket)
     return placed.withColumn("block_id", F.expr(f"place div {block_points}")).withColumn("segment_id", F.expr(f"cast(block_id div {blocks_per_segment} + 1 as int)")).drop("place")

@@ -46,10 +46,16 @@ def largest(v: Column) -> Column:
 
 
 def total(v: Column, exact_scale: int | None = None) -> Column:
-    """Sum; with a scale, exact for decimals of that scale and the same for any layout of the rows."""
+    """Sum; with a scale, exact for decimals of that scale and the same for any layout of the rows.
+
+    NaN, the infinities and numbers too large for 18 digits make it a plain sum.
+    """
     if exact_scale is None:
         return F.sum(v)
-    return F.sum(v.cast(f"decimal(18,{exact_scale})")).cast("double")
+    limit = 10.0 ** (18 - exact_scale)
+    fits = ~F.isnan(v) & (F.abs(v) < limit)
+    exact = F.sum(F.when(fits, v).cast(f"decimal(18,{exact_scale})")).cast("double")
+    return F.when(F.count_if(~fits) > 0, F.sum(v)).otherwise(exact)
 
 
 def average(v: Column, exact_scale: int | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
+from tidemark.operators.catalog import BUCKET_ROWS, carried, own
 
 
 def window_rollup(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -63,17 +64,17 @@ def mean_ratio(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:
     return joined.agg(F.avg(F.col("x") / F.col("y")).alias("mean_ratio"), F.count(F.lit(1)).alias("n"))
 
 
-def deltas(points: DataFrame, order: str = "seq") -> DataFrame:
+def deltas(points: DataFrame, order: str = "seq", rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Step of time from the point before, and the step's own change, within each series."""
-    w = Window.partitionBy("series").orderBy(order)
-    one = points.withColumn("delta", F.col("timestamp") - F.lag("timestamp").over(w))
-    return one.withColumn("delta_of_delta", F.col("delta") - F.lag("delta").over(w))
+    rows, w, _ = carried(points, order, 2, rows_per_bucket)
+    one = rows.withColumn("delta", F.col("timestamp") - F.lag("timestamp").over(w))
+    return own(one.withColumn("delta_of_delta", F.col("delta") - F.lag("delta").over(w)))
 
 
-def value_changes(points: DataFrame, order: str = "seq") -> DataFrame:
+def value_changes(points: DataFrame, order: str = "seq", rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Whether a value differs from the one before in its series; the first one does."""
-    w = Window.partitionBy("series").orderBy(order)
-    return points.withColumn("changed", ~F.col("value").eqNullSafe(F.lag("value").over(w)))
+    rows, w, _ = carried(points, order, 1, rows_per_bucket)
+    return own(rows.withColumn("changed", ~F.col("value").eqNullSafe(F.lag("value").over(w))))
 
 
 def last_points(points: DataFrame, n: int, by: Sequence[str] = ("series",)) -> DataFrame:
@@ -84,15 +85,21 @@ def last_points(points: DataFrame, n: int, by: Sequence[str] = ("series",)) -> D
 
 def top_value(points: DataFrame, by: str = "series") -> DataFrame:
     """Time and value of the largest value of each group (the earliest of equals)."""
-    best = F.max(F.struct("value", (-F.col("timestamp")).alias("t")))
-    return points.groupBy(by).agg(best.alias("b")).select(by, F.col("b.value").alias("value"), (-F.col("b.t")).alias("timestamp"))
+    best = F.max(F.struct("value", F.bitwise_not("timestamp").alias("t")))  # runs the other way, and cannot overflow
+    return points.groupBy(by).agg(best.alias("b")).select(by, F.col("b.value").alias("value"), F.bitwise_not("b.t").alias("timestamp"))
 
 
-def resets(points: DataFrame, order: str = "seq") -> DataFrame:
+def resets(points: DataFrame, order: str = "seq", rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Number of the run a counter is in; a run ends where the value falls."""
-    w = Window.partitionBy("series").orderBy(order)
+    rows, w, single = carried(points, order, 1, rows_per_bucket)
     fell = F.coalesce((F.col("value") < F.lag("value").over(w)).cast("long"), F.lit(0))
-    return points.withColumn("run", F.sum(fell).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("__fell", F.when(F.col("__ghost"), 0).otherwise(fell))
+    counted = marked.withColumn("run", F.sum("__fell").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not single:
+        earlier = F.sum("__n").over(Window.partitionBy("series").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+        totals = marked.groupBy("series", "__b").agg(F.sum("__fell").alias("__n")).select("series", "__b", F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+        counted = counted.join(totals, ["series", "__b"]).withColumn("run", F.col("run") + F.col("__earlier")).drop("__earlier")
+    return own(counted.drop("__fell"))
 
 
 def missing(wanted: DataFrame, present: DataFrame, on: str) -> DataFrame:

@@ -145,8 +145,8 @@ def window_empty_range(spark, d):
 def window_full_extent(spark, d):
     """Windows anchored at each series' first point and clipped after its last."""
     rows = ev(spark, d).select()
-    w = Window.partitionBy("series")
-    rows = rows.withColumn("a", F.min("timestamp").over(w)).withColumn("z", F.max("timestamp").over(w) + 1).withColumn("k", F.expr(f"(timestamp - a) div {DAY}L"))
+    extent = rows.groupBy("series").agg(F.min("timestamp").alias("a"), (F.max("timestamp") + 1).alias("z"))
+    rows = rows.join(extent, "series").withColumn("k", F.expr(f"(timestamp - a) div {DAY}L"))
     out = rows.groupBy("series", "a", "z", "k").agg(F.count(F.lit(1)).alias("count"), reads.least(F.col("value")).alias("min"), reads.largest(F.col("value")).alias("max"))
     return out.select("series", (F.col("a") + F.col("k") * DAY).alias("window_start"), F.least(F.col("a") + (F.col("k") + 1) * DAY, "z").alias("window_end"), "count", "min", "max")
 
@@ -547,8 +547,9 @@ def coerce_numeric(spark, d):
 
 @query(f"SELECT seq, (v - a) / greatest(1, b - a) AS scaled FROM (SELECT *, min(v) OVER (PARTITION BY series) AS a, max(v) OVER (PARTITION BY series) AS b FROM {EVENTS})")
 def sparkline_scale(spark, d):
-    w = Window.partitionBy("series")
-    return ev(spark, d).select().select("seq", X.scaled(F.col("value"), F.min("value").over(w), F.max("value").over(w)).alias("scaled"))
+    rows = ev(spark, d).select()
+    extent = rows.groupBy("series").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return rows.join(extent, "series").select("seq", X.scaled(F.col("value"), F.col("a"), F.col("b")).alias("scaled"))
 
 
 @query(f"SELECT seq, strftime(make_timestamp(t), '%H:%M:%S') AS clock FROM {EVENTS}")

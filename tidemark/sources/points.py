@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import invalid
+from tidemark.schema import INT64_MAX, invalid
 
 EPOCH = datetime(1970, 1, 1)
 PER_SECOND = {"us": 1_000_000, "ms": 1000, "s": 1}
@@ -45,11 +45,14 @@ class Points:
         return t.cast("long")
 
     def literal(self, at: int) -> Column | None:
-        """A bound as a literal of the raw column's type; None where that type cannot say it."""
-        if self.kind not in ("timestamp", "timestamp_ntz"):
+        """A moment as a literal of the raw column's type, a date being the first one not before it; None where that type cannot say it."""
+        if self.kind not in ("timestamp", "timestamp_ntz", "date"):
             return F.lit(at).cast("long")
         try:
             moment = EPOCH + timedelta(microseconds=at * (1_000_000 // PER_SECOND[self.unit]))
+            if self.kind == "date":
+                day = moment.date()
+                return F.lit((day if moment == EPOCH + (day - EPOCH.date()) else day + timedelta(days=1)).isoformat()).cast("date")
         except OverflowError:
             return None
         return F.lit(moment.isoformat(sep=" ")).cast(self.kind)
@@ -60,18 +63,15 @@ class Points:
         df = self.table
         if series is not None:
             df = df.filter(name == series if isinstance(series, str) else name.isin(list(series)))
-        exact = self.unit == "us" or self.kind not in ("timestamp", "timestamp_ntz")
         raw, number = F.col(self.time), self.timestamp()
         if low is not None:
             bound = self.literal(low)
-            if bound is not None:
-                df = df.filter(raw >= bound)
-            if bound is None:
-                df = df.filter(number >= low)
+            df = df.filter(raw >= bound if bound is not None else number >= low)
         if high is not None:
-            bound = self.literal(high) if exact else None
-            column, bound = (raw, bound) if bound is not None else (number, F.lit(high))
-            df = df.filter(column <= bound if closed else column < bound)
+            # up to high, included, is before high + 1 in units of the number; the raw column may be finer
+            after = high + 1 if closed else high
+            bound = self.literal(after) if after <= INT64_MAX else None
+            df = df.filter(raw < bound if bound is not None else number <= high if closed else number < high)
         order = [F.col(self.order).alias("seq")] if self.order else []
         return df.select(name.cast("string").alias("series"), number.alias("timestamp"), F.col(self.value).cast("double").alias("value"), *order, *keep)
 

@@ -37,7 +37,7 @@ class Files:
             stream.close()
 
     def write(self, where: str, data: bytes) -> None:
-        """Write beside the target, then put it in its place."""
+        """Write beside the target, then put it in its place; ``settle`` finishes what a crash cut short."""
         aside = self.path(where + ".next")
         stream = self.fs.create(aside, True)
         try:
@@ -47,6 +47,12 @@ class Files:
         self.fs.delete(self.path(where), False)
         self.fs.rename(aside, self.path(where))
 
+    def settle(self, where: str) -> None:
+        """The target is only deleted once what follows it is whole: without a target, that takes its place."""
+        aside = where + ".next"
+        if self.exists(aside) and not self.exists(where):
+            self.fs.rename(self.path(aside), self.path(where))
+
     def delete(self, where: str) -> None:
         self.fs.delete(self.path(where), True)
 
