@@ -329,6 +329,38 @@ def test_lm_learns_from_context(spark):
     assert sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
 
 
+def test_lm_beats_an_interpolated_bigram_on_held_out_documents(spark):
+    """Over held-out documents without a copy in training: better than counts, and than word pairs with the best of five weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, counts = lm.train(docs)
+    scored = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
+    one, two, before, held = Counter(), Counter(), Counter(), {}
+    for r in docs.collect():
+        words = space_words(r.text) + [None]
+        if zlib.crc32(str(r.doc_id).encode()) % 7 == 2:
+            held[r.doc_id] = words
+        else:
+            one.update(words)
+            two.update(zip([None, *words], words))
+            before.update([None, *words[:-1]])
+    total, v = sum(one.values()), len(one)
+    new = [k for k, w in held.items() if sum(p in two for p in zip(w, w[1:])) <= 0.5 * len(w)]
+    n = sum(scored[k].n_tokens for k in new)
+
+    def pairs(prior):
+        out = 0.0
+        for words in map(held.get, new):
+            for x, y in zip([None, *words], words):
+                share = before[x] / (before[x] + prior)
+                out += math.log10(share * two[x, y] / max(1, before[x]) + (1 - share) * (one[y] + 1) / (total + v + 1))
+        return out / n
+
+    found, base = sum(scored[k].score for k in new) / n, sum(scored[k].base_score for k in new) / n
+    best = max(pairs(prior) for prior in (10, 30, 100, 300, 1000))
+    print(f"{len(new)} of {len(held)}: base {base:.4f}, pairs {best:.4f}, model {found:.4f}")
+    assert found > best and found > base + 0.05
+
+
 def test_lm_of_nothing(spark):
     model, counts = lm.train(empty(spark))
     assert lm.score(empty(spark), model, counts).count() == 0

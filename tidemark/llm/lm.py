@@ -7,16 +7,20 @@ words is the group's last class.  The chance of a word is
     P(group | context) * P(class | group, context) * P(word | class)
 
 where the first two are softmaxes over hashed features of the context (the word before,
-the two before, and the word before that one alone: a skip), and the third is the softmax
-of log(count + 1) within the class.  Every group's last class holds one more event, for
-words never seen, so all chances sum to one.
+the two before, and the words two and three places before alone: skips; the class sees the
+first two of these together with the group), and the third is the softmax of log(count + 1)
+within the class.  Every group's last class holds one more event, for words never seen, so
+all chances sum to one.
 
 Training covers every training document.  Words are counted in the tasks and summed by
-word.  Each round, every task takes stochastic gradient steps over its own documents from
-the shared weights; the changes are summed block by block in the cluster and averaged.
+word.  The documents are dealt to ``ROUNDS`` rounds.  Each round, every task takes stochastic
+gradient steps over its documents from the shared weights; the changes are summed block by
+block in the cluster, each row's weighted by how often the task met it.
 
-The weights and the most frequent words are of fixed size and broadcast.  Counts of all
-other words stay a table: a text's rare words are joined to it, summed up for each text.
+The feature table has a row for every few training tokens, up to ``TABLE`` rows; beyond
+half a million tokens contexts share rows.  The weights and the most frequent words are of
+bounded size and broadcast.  Counts of all other words stay a table, which grows with the
+corpus: a text's rare words are joined to it, summed up for each text.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored
 each on its own; without training documents N = V = 0 and the model is uniform over what
@@ -42,13 +46,16 @@ from .common import cut, slices, space_words, table
 HEAD = 100_000
 #: Longer words are never in the head, so that its size in bytes is bounded.
 HEAD_BYTES = 64
-GROUPS, CLASSES = 8, 8
-LETTERS = 64
-TABLE = 1 << 14
-ROUNDS = 1
-RATE = 0.6
-BATCH = 50_000
-BLOCK = 8192
+GROUPS, CLASSES = 16, 16
+LETTERS = 1024
+#: Most rows of the feature table, and training tokens for a row up to that size.
+TABLE, TOKENS_A_ROW = 1 << 17, 4
+#: Words before that are features, and how many of the features the class sees.
+BEFORE, CLASS_FEATURES = 3, 2
+ROUNDS = 2
+RATE, DAMP = 0.6, 4.0
+BATCH = 20_000
+BLOCK = 4096
 HELD_OUT, FOLDS = 2, 7
 
 
@@ -104,7 +111,7 @@ def nearest(words: list[bytes], centre: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.ascontiguousarray(centre.T)[pairs], starts, axis=0).argmax(1)
 
 
-def centres(words: list[bytes], seed: int = 5, sample: int = 12_000, steps: int = 12) -> np.ndarray:
+def centres(words: list[bytes], seed: int = 5, sample: int = 8_000, steps: int = 10) -> np.ndarray:
     """Spherical k-means over the most frequent words."""
     r = np.random.default_rng(seed)
     if not words:
@@ -129,7 +136,7 @@ class Model(NamedTuple):
     centre: np.ndarray
     total: int  # N
     types: int  # V
-    weights: np.ndarray  # 2 x TABLE x GROUPS (as many classes as groups)
+    weights: np.ndarray  # 2 x rows x GROUPS (as many classes as groups)
     bias: tuple  # GROUPS, and GROUPS x CLASSES
 
 
@@ -159,23 +166,26 @@ class Reader:
         return np.split(out, ends[:-1])
 
 
-def contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, and for each the tokens one and two places before; ``size`` stands for none."""
-    tokens = np.concatenate(docs)
-    one, two = np.full(len(tokens), size), np.full(len(tokens), size)
-    one[1:], two[2:] = tokens[:-1], tokens[:-2]
-    starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
-    one[starts], two[starts] = size, size
-    second = starts + 1
-    two[second[second < len(tokens)]] = size
-    return tokens, one, two
+def contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens, and the tokens one, two ... places before; ``size`` stands for none."""
+    tokens, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for k in range(1, BEFORE + 1):
+        before = np.full(len(tokens), size)
+        before[k:] = tokens[:-k]
+        before[place < k] = size
+        out.append(before)
+    return tokens, out
 
 
-def hashed(one: np.ndarray, two: np.ndarray, salt) -> list[np.ndarray]:
+def hashed(before: list[np.ndarray], salt, rows: int) -> list[np.ndarray]:
+    """Rows of the features: the word before, the two before, and each of the others alone."""
     a, b, c = np.int64(0x5851F42D4C957F2D), np.int64(0x14057B7EF767814F), np.int64(0x2545F4914F6CDD1D)
-    mask, salt = np.int64(TABLE - 1), np.asarray(salt, np.int64) * c
+    mask, salt = np.int64(rows - 1), np.asarray(salt, np.int64) * c
     with np.errstate(over="ignore"):
-        return [((x ^ salt) * a >> np.int64(40)) & mask for x in (one * a + 1, one * a + two * b + 2, two * b + 3)]
+        mixed = [before[0] * a + 1, before[0] * a + before[1] * b + 2] + [x * b + 3 + k for k, x in enumerate(before[1:])]
+        return [((x ^ salt) * a >> np.int64(40)) & mask for x in mixed]
 
 
 class Tables:
@@ -188,45 +198,56 @@ class Tables:
         self.size = len(self.group)
 
 
-def logits(weights: np.ndarray, bias: tuple, one, two, group) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For both softmaxes the scores, a row for each class, and the features' places."""
-    f = hashed(one, two, 7)
-    yield (weights[0][f[0]] + weights[0][f[1]] + weights[0][f[2]] + bias[0]).T, f
-    f = hashed(one, two, group + 11)
-    yield (weights[1][f[0]] + weights[1][f[1]] + weights[1][f[2]] + bias[1][group]).T, f
+def logits(weights: np.ndarray, bias: tuple, before: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For both softmaxes the scores, a column for each class, and the features' rows."""
+    for level in (0, 1):
+        rows = hashed(before, 7 if level == 0 else group + 11, weights.shape[1])[: None if level == 0 else CLASS_FEATURES]
+        z = weights[level][rows[0]] + (bias[0] if level == 0 else bias[1][group])
+        for r in rows[1:]:
+            z += weights[level][r]
+        yield z, rows
 
 
-def learn(weights: np.ndarray, bias: tuple, tables: Tables, tokens, one, two) -> None:
-    """One gradient step, in place: each row moves by its mean gradient, damped while it is rare."""
+def learn(weights: np.ndarray, met: np.ndarray, bias: tuple, tables: Tables, tokens: np.ndarray, before: list[np.ndarray]) -> None:
+    """One gradient step, in place: each row moves by its mean gradient, damped while it is rare; ``met`` counts the rows."""
     group = tables.group[tokens]
-    for level, (z, f) in enumerate(logits(weights, bias, one, two, group)):
-        d = np.exp(z - z.max(0))
-        d /= d.sum(0)
-        d[group if level == 0 else tables.cls[tokens], np.arange(d.shape[1])] -= 1
-        d = np.ascontiguousarray(d, "f8")
-        for rows in f:
-            rate = RATE / (np.bincount(rows, minlength=TABLE) + 4.0)
-            for k in range(GROUPS):
-                weights[level][:, k] -= rate * np.bincount(rows, d[k], TABLE)
+    for level, (z, features) in enumerate(logits(weights, bias, before, group)):
+        z -= z.max(1, keepdims=True)
+        d = np.exp(z, out=z)
+        d /= d.sum(1, keepdims=True)
+        d[np.arange(len(d)), group if level == 0 else tables.cls[tokens]] -= 1
+        for rows in features:
+            order = np.argsort(rows)
+            row = rows[order]
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            n = np.diff(np.append(start, len(row)))
+            met[level][row[start]] += n
+            once = n == 1
+            weights[level][row[start[once]]] -= np.float32(RATE / (1 + DAMP)) * d[order[start[once]]]
+            if not once.all():
+                many, of = n[~once], order[np.repeat(~once, n)]
+                sums = np.add.reduceat(d[of], np.cumsum(many) - many, axis=0)
+                weights[level][row[start[~once]]] -= (RATE / (many + DAMP)).astype("f4")[:, None] * sums
 
 
 def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.ndarray:
-    """Weights after every task's steps over its documents, averaged by tokens."""
+    """Weights after every task's steps over its documents: each row by its mean change, weighted by how often it was met."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
+    cuts = range(0, weights.shape[0] * weights.shape[1], BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, w = Model(*model.value), shipped.value.copy()
+        met = np.zeros(w.shape[:2], np.int64)
         reader, tables = Reader(m), Tables(m)
         held: list[np.ndarray] = []
-        size = seen = 0
+        size = 0
 
         def step() -> None:
-            nonlocal held, size, seen
+            nonlocal held, size
             if held:
-                tokens, one, two = contexts(held, tables.size)
+                tokens, before = contexts(held, tables.size)
                 for at in range(0, len(tokens), BATCH):
-                    learn(w, m.bias, tables, *(x[at : at + BATCH] for x in (tokens, one, two)))
-                seen += len(tokens)
+                    learn(w, met, m.bias, tables, tokens[at : at + BATCH], [x[at : at + BATCH] for x in before])
                 held, size = [], 0
 
         for batch in batches:
@@ -237,37 +258,47 @@ def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.nd
                 if size >= BATCH:
                     step()
         step()
-        if seen:
-            change = ((w - shipped.value) * seen).astype("f4").ravel()
-            cuts = range(0, len(change), BLOCK)
+        if met.any():
+            change, n = (w - shipped.value).reshape(-1, GROUPS).astype(np.float16), met.ravel().astype("f4")
+            full = [at for at in cuts if n[at : at + BLOCK].any()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([at // BLOCK for at in cuts], pa.int32()),
-                    pa.array([seen] * len(cuts), pa.int64()),
-                    pa.array([change[at : at + BLOCK] for at in cuts], pa.list_(pa.float32())),
+                    pa.array([at // BLOCK for at in full], pa.int32()),
+                    pa.array([n[at : at + BLOCK].tobytes() for at in full], pa.binary()),
+                    pa.array([change[at : at + BLOCK].tobytes() for at in full], pa.binary()),
                 ],
-                names=["block", "tokens", "change"],
+                names=["block", "met", "change"],
             )
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf["change"].to_numpy()), axis=0, dtype="f8").astype("f4")
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "tokens": [int(pdf["tokens"].sum())], "change": [total]})
-
-    ddl = "block int, tokens bigint, change array<float>"
+        n, total = 0.0, 0.0
+        for met, change in zip(pdf["met"], pdf["change"]):
+            own = np.frombuffer(met, "f4")
+            n, total = n + own, total + own[:, None] * np.frombuffer(change, np.float16).reshape(-1, GROUPS).astype("f4")
+        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float16)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "met": [n.astype("f4").tobytes()], "change": [mean.tobytes()]})
+
+    ddl = "block int, met binary, change binary"
     changes = docs.mapInArrow(run, ddl).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     some = changes.groupBy("block", "salt").applyInPandas(added, ddl)  # at most 64 rows of a block go on
-    rows = some.groupBy("block").applyInPandas(added, ddl).collect()  # as large as the weights
-    out = weights.copy().ravel()
-    for r in rows:
-        out[r.block * BLOCK : r.block * BLOCK + len(r.change)] += np.array(r.change, "f4") / r.tokens
+    out = weights.copy().reshape(-1, GROUPS)
+    for r in some.groupBy("block").applyInPandas(added, ddl).toLocalIterator():  # half as large as the weights
+        change = np.frombuffer(r.change, np.float16).reshape(-1, GROUPS)
+        out[r.block * BLOCK : r.block * BLOCK + len(change)] += change
+    shipped.destroy()
     return out.reshape(weights.shape)
 
 
+def table_rows(tokens: int) -> int:
+    """Rows of the feature table, a power of two."""
+    return min(TABLE, max(1 << 12, 1 << (tokens // TOKENS_A_ROW).bit_length()))
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model and the (word, c) table of all training words."""
     spark = docs.sparkSession
-    own = docs.filter(is_training(id_col)).select(F.col(text_col).alias("text"))
-    counts = cut(count_words(own))
+    own = docs.filter(is_training(id_col)).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(rounds)).alias("round"))
+    counts = cut(count_words(own.select("text")))
     n_docs = own.count()
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     short = counts.filter(F.length("word") <= HEAD_BYTES)
@@ -309,26 +340,26 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     mass = z.sum(1)
     bias = (np.log(mass / mass.sum()).astype("f4"), np.log(np.maximum(z, 1e-9) / mass[:, None]).astype("f4"))
     end_seen = int(n_docs > 0)
-    model = Model(words + [None], n, group, cls, np.log10(np.maximum(z, 1e-300)), centre, int(totals["n"]) + n_docs, int(totals["v"]) + end_seen, np.zeros((2, TABLE, GROUPS), "f4"), bias)
+    model = Model(words + [None], n, group, cls, np.log10(np.maximum(z, 1e-300)), centre, int(totals["n"]) + n_docs, int(totals["v"]) + end_seen, np.zeros((2, table_rows(int(totals["n"]) + n_docs), GROUPS), "f4"), bias)
     shared = spark.sparkContext.broadcast(tuple(model._replace(weights=None)))
     weights = model.weights
-    for _ in range(rounds):
-        weights = train_round(own, shared, weights)
+    for k in range(rounds):
+        weights = train_round(own.filter(F.col("round") == k).select("text"), shared, weights)
     return model._replace(weights=weights), counts
 
 
 def class_log10(model: Model, tables: Tables, docs: list[np.ndarray]) -> np.ndarray:
     """log10 P(group) P(class) of every token of the given documents, one after another."""
-    tokens, one, two = contexts(docs, tables.size)
+    tokens, before = contexts(docs, tables.size)
     out = np.zeros(len(tokens))
     for at in range(0, len(tokens), BATCH):
-        t, a, b = (x[at : at + BATCH] for x in (tokens, one, two))
-        group = tables.group[t]
-        rows = np.arange(len(t))
-        for level, (z, _) in enumerate(logits(model.weights, model.bias, a, b, group)):
-            top = z.max(0)
-            lse = np.log(np.exp(z - top).sum(0)) + top
-            out[at : at + BATCH] += z[group if level == 0 else tables.cls[t], rows] - lse
+        t = tokens[at : at + BATCH]
+        group, rows = tables.group[t], np.arange(len(t))
+        for level, (z, _) in enumerate(logits(model.weights, model.bias, [x[at : at + BATCH] for x in before], group)):
+            top = z.max(1)
+            own = z[rows, group if level == 0 else tables.cls[t]] - top
+            z -= top[:, None]
+            out[at : at + BATCH] += own - np.log(np.exp(z, out=z).sum(1))
     return out / math.log(10)
 
 
