@@ -413,6 +413,42 @@ def test_media_recall_of_candidates_against_all_pairs(spark):
     assert brute and sum(got[a] == got[b] for a, b in brute) / len(brute) >= 0.9
 
 
+def test_media_small_crops_of_large_pictures(spark):
+    """Crops of 10 to 25 % of the area, and copies at a third of the size."""
+    rows, expected = [], {}
+    for k in range(6):
+        base = picture(700 + k, 320)
+        crops = [base[100:220, 60:180], base[150:290, 150:300], media.resized(base[None].astype("f4"), 1 / 3)[0]]
+        for j, image in enumerate([base, *crops]):
+            rows.append((10 * k + j, media.encode_pgm(image)))
+            expected[10 * k + j] = 10 * k
+    got = {r.id: r.component_id for r in media.find_copies(spark.createDataFrame(rows, "id bigint, data binary"), id_col="id", media_col="data").collect()}
+    assert sum(got[a] == got[b] for a, b in expected.items()) / len(expected) >= 0.9
+    assert len({got[10 * k] for k in range(6)}) == 6
+
+
+def test_media_memory_of_a_large_picture():
+    import tracemalloc
+
+    image = np.tile(picture(5, 256).astype("f4"), (12, 12))
+    tracemalloc.start()
+    owner, _, _ = media.describe(image[None])
+    assert len(owner) > 10_000 and tracemalloc.get_traced_memory()[1] < 1500 << 20
+    tracemalloc.stop()
+
+
+def test_media_recall_on_the_querys_own_pictures(spark):
+    """Crops, turns and changed brightness planted among 300 pictures rendered from the supplied vectors."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(300)
+    own = [(r.vec_id, bytes(r.media)) for r in media.rendered(vectors).collect()]
+    planted, edits = [], [lambda x: x * 0.9 + 8, lambda x: np.rot90(x), lambda x: x[4:64, 2:60], lambda x: np.rot90(x[2:62, 4:64], 2)]
+    for k, (i, data) in enumerate(own[::20]):
+        planted += [(10**6 + 10 * k + j, media.encode_pgm(e(media.decode(data))), i) for j, e in enumerate(edits)]
+    df = spark.createDataFrame(own + [(i, d) for i, d, _ in planted], "id bigint, data binary")
+    got = {r.id: r.component_id for r in media.find_copies(df, id_col="id", media_col="data").collect()}
+    assert sum(got[i] == got[o] for i, _, o in planted) / len(planted) >= 0.9
+
+
 def test_png_round_trip():
     import struct
 
