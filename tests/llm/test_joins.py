@@ -417,7 +417,7 @@ def test_media_small_crops_of_large_pictures(spark):
     """Crops of 10 to 25 % of the area, and copies at a third of the size."""
     rows, expected = [], {}
     for k in range(6):
-        base = picture(700 + k, 320)
+        base = picture(700 + k, 320) + 20 * media.resized(np.random.default_rng(k).normal(size=(1, 80, 80)).astype("f4"), 4)[0]
         crops = [base[100:220, 60:180], base[150:290, 150:300], media.resized(base[None].astype("f4"), 1 / 3)[0]]
         for j, image in enumerate([base, *crops]):
             rows.append((10 * k + j, media.encode_pgm(image)))

@@ -280,6 +280,102 @@ class Labeller:
             out[:, s] = h
         return out
 
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, way: str) -> np.ndarray:
+        """What ``run`` gives, without what only training needs."""
+        wx, wh, b = (getattr(self, f"{n}_{way}") for n in ("wx", "wh", "b"))
+        n, t, _ = x.shape
+        out = np.zeros((n, t, HIDDEN), "f4")
+        h = c = np.zeros((n, HIDDEN), "f4")
+        k3 = 3 * HIDDEN
+        for s in range(t) if way == "f" else range(t - 1, -1, -1):
+            z = x[:, s] @ wx + b + h @ wh
+            gates = sigmoid(z[:, :k3])
+            m = mask[:, s, None]
+            c = (gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(z[:, k3:])) * m
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[:, s] = h
+        return out
+
     def probabilities(self, pages: list, rows: int = 128, room: int = 60_000) -> list[np.ndarray]:
         """For each page the chance of each block to be part of the article.
 
