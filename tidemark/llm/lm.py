@@ -56,6 +56,7 @@ ROUNDS = 2
 RATE, DAMP = 0.6, 4.0
 BATCH = 20_000
 BLOCK = 4096
+TASKS_A_CORE = 4
 HELD_OUT, FOLDS = 2, 7
 
 
@@ -208,6 +209,12 @@ def logits(weights: np.ndarray, bias: tuple, before: list[np.ndarray], group: np
         yield z, rows
 
 
+def radix_order(rows: np.ndarray) -> np.ndarray:
+    """What puts row numbers under 2**24 in order; numpy sorts small integers by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    return order[np.argsort((rows >> 16).astype(np.uint8)[order], kind="stable")]
+
+
 def learn(weights: np.ndarray, met: np.ndarray, bias: tuple, tables: Tables, tokens: np.ndarray, before: list[np.ndarray]) -> None:
     """One gradient step, in place: each row moves by its mean gradient, damped while it is rare; ``met`` counts the rows."""
     group = tables.group[tokens]
@@ -217,7 +224,7 @@ def learn(weights: np.ndarray, met: np.ndarray, bias: tuple, tables: Tables, tok
         d /= d.sum(1, keepdims=True)
         d[np.arange(len(d)), group if level == 0 else tables.cls[tokens]] -= 1
         for rows in features:
-            order = np.argsort(rows)
+            order = radix_order(rows)
             row = rows[order]
             start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             n = np.diff(np.append(start, len(row)))
@@ -232,7 +239,9 @@ def learn(weights: np.ndarray, met: np.ndarray, bias: tuple, tables: Tables, tok
 
 def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.ndarray:
     """Weights after every task's steps over its documents: each row by its mean change, weighted by how often it was met."""
-    shipped = docs.sparkSession.sparkContext.broadcast(weights)
+    context = docs.sparkSession.sparkContext
+    shipped = context.broadcast(weights)
+    docs = docs.coalesce(TASKS_A_CORE * context.defaultParallelism)  # a task's changes are as large as the weights, however few its documents
     cuts = range(0, weights.shape[0] * weights.shape[1], BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
