@@ -618,6 +618,18 @@ def test_toxicity_over_tables(spark):
     assert kept.columns == docs.columns and kept.count() == sum(s < 0.5 for s in scores.values())
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    docs = spark.range(10_500).selectExpr("id AS doc_id", "if(id % 5 = 0, 'you idiot by a stone', 'a river by a stone') AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 = 0) AS toxic")
+    rows = [("you idiot by a stone" if k % 5 == 0 else "a river by a stone", int(k % 5 == 0)) for k in range(10_500) if not toxicity.is_held_out(k)]
+    model, local = toxicity.train(docs, labels), toxicity.fit(rows)
+    assert model["words"]["stone"] == len(rows) > 8_000
+    assert model["words"] == local["words"] and set(model["weights"]) == set(local["weights"])
+    assert model["weights"] == pytest.approx(local["weights"], abs=1e-3)
+    alone = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert {r.doc_id: r.score for r in toxicity.scored_sets(docs, labels).collect()} == pytest.approx(alone)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     docs = documents(spark, ODD)

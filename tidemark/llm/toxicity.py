@@ -9,9 +9,12 @@ finds the cheapest path under a character language model of the training words,
 of any length.  Letters that are no known word but
 hold one that tells for toxicity are cut into words in a second pass.  A logistic model over the restored words gives the score.
 
-Both models are fitted on the driver on labelled rows whose crc32(id) mod 5 is not 0:
-the first ``SAMPLE_ROWS`` in the order of a hash of the id, and of those as many as stay
-within ``SAMPLE_CHARS`` characters.  Scoring is row-local over all rows, without a shuffle.
+Both models are fitted in the cluster on all labelled rows whose crc32(id) mod 5 is not 0.
+Words and disguised tokens are counted by document and label, each distinct token is restored
+once, features are chosen by the counts of all of them, and the logistic model is fitted by
+L-BFGS whose sums run over every row.  Only the size of the model is bounded: its letters'
+sequences (``GRAMS``), its dictionary (``WORDS``) and its features (``FEATURES``) are the
+heaviest by those counts.  Scoring is row-local over all rows, without a shuffle.
 
 Defined results: a null or empty text scores what the model gives for no words; labels
 that are null or belong to no document teach nothing; without any label all scores are
@@ -23,24 +26,26 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, cut, shared_dir, slices, table
 
-SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 20_000_000
-FEATURES = 4_000
+#: Sizes of the model, which is broadcast; counts behind them are of all rows.
+WORDS, GRAMS, FEATURES = 200_000, 500_000, 4_000
 #: A word is a feature where its share of toxic documents has a chance under e**-EVIDENCE (Chernoff).
 EVIDENCE = 14.0
 MIN_DOCS = 4
 STEMS = (4, 5, 6, 7, 8)
 ORDER = 4
 HOLD_OUT = 5
+#: L2 of the logistic model, most steps of its fit and the relative gain that ends it.
+L2, STEPS, GAIN = 3e-6, 50, 1e-4
 CACHE, CACHE_CHARS = 600_000, 20_000_000
 
 #: Characters and the letters they imitate.
@@ -64,20 +69,30 @@ RUNS = re.compile(r"(.)\1\1+")
 REPEATS = re.compile(r"(.)\1+")
 
 
+def sequences(words: Iterable[tuple[str, int]]) -> dict[str, float]:
+    """Runs of ORDER characters of words and how heavy they are, each word log(1 + its count)."""
+    out: dict[str, float] = {}
+    for word, n in words:
+        weight, padded = math.log1p(n), START + word + "$"
+        for i in range(ORDER, len(padded) + 1):
+            gram = padded[i - ORDER : i]
+            out[gram] = out.get(gram, 0.0) + weight
+    return out
+
+
 class Letters:
     """Interpolated character n-grams of distinct words, each weighted by log(1 + its count)."""
 
-    def __init__(self, words: dict[str, int]):
-        total = sum(math.log1p(n) for n in words.values())
+    def __init__(self, words: dict[str, int], grams: dict[str, float] | None = None, total: float | None = None):
+        """Words with their counts; sequences and total weight, where these come from more words than those."""
+        total = sum(math.log1p(n) for n in words.values()) if total is None else total
         self.words = {w: max(0.0, math.log(total / math.log1p(n)) - KNOWN) for w, n in words.items()}
         self.longest = max(map(len, words), default=0)
         self.counts: dict[str, dict[str, float]] = {}
-        for word, n in words.items():
-            weight, padded = math.log1p(n), START + word + "$"
-            for i in range(ORDER - 1, len(padded)):
-                for k in range(ORDER):
-                    c = self.counts.setdefault(padded[i - k : i], {})
-                    c[padded[i]] = c.get(padded[i], 0.0) + weight
+        for gram, weight in (sequences(words.items()) if grams is None else grams).items():
+            for k in range(ORDER):
+                c = self.counts.setdefault(gram[ORDER - 1 - k : -1], {})
+                c[gram[-1]] = c.get(gram[-1], 0.0) + weight
         self.totals = {k: sum(v.values()) for k, v in self.counts.items()}
         self.memo: dict[tuple[str, str], float] = {}
 
@@ -141,7 +156,6 @@ class Letters:
             out.append(c)
         return price, "".join(reversed(out)).split()
 
-
     def segment(self, word: str) -> list[str]:
         """Letters cut into words by the cheapest path over known words and, letter by letter, unknown ones."""
         ends: list[tuple[float, tuple | None]] = [(0.0, None)]  # at each place where a word may begin: price, (rest, length)
@@ -239,68 +253,144 @@ def squeezed(word: str) -> str:
     return REPEATS.sub(r"\1", word)
 
 
+class Counts:
+    """Of how many documents, and toxic ones, hold a word or, after a space, a token that has to be restored."""
+
+    def __init__(self) -> None:
+        self.rows = self.toxic = self.chars = 0
+        self.key: dict[str, str] = {}
+        self.seen: Counter = Counter()
+        self.bad: Counter = Counter()
+
+    def add(self, text: str | None, y: int) -> None:
+        tokens = tokens_of(text)
+        for t in tokens:
+            if t in self.key:
+                continue
+            w = None if " " in t else plain(t)
+            self.key[t] = w if w and w.isalpha() else " " + t
+            self.chars += len(t)
+        keys = set(map(self.key.__getitem__, tokens))
+        self.seen.update(keys)
+        if y:
+            self.bad.update(keys)
+        self.rows += 1
+        self.toxic += y
+
+
+def features_by(words: Iterable[tuple[str, int, int]], letters: Letters) -> dict[str, list[int]]:
+    """For every feature of counted words and tokens, how often documents and toxic ones hold one of these."""
+    out: dict[str, list[int]] = {}
+    for key, n, bad in words:
+        for f in {f for word in (restore(key[1:], letters) if key[0] == " " else [key]) for f in features_of(word)}:
+            both = out.setdefault(f, [0, 0])
+            both[0] += n
+            both[1] += bad
+    return out
+
+
+def unfitted(words: dict[str, int], grams: dict[str, float], total: float, chosen: list[tuple[str, bool]], bias: float) -> dict:
+    """A model with its features, each with whether it tells for toxicity, before they have weights."""
+    return {"words": words, "grams": grams, "total": total, "weights": dict.fromkeys((f for f, _ in chosen), 0.0), "telling": [f for f, more in chosen if more], "bias": bias}
+
+
+NOTHING: dict = {"words": {}, "grams": {}, "total": 0.0, "weights": {}, "telling": [], "bias": None}
+
+
+def rate_of(toxic: int, rows: int) -> float:
+    return (toxic + 0.5) / (rows + 1)
+
+
+def slopes(x: np.ndarray, sizes: np.ndarray, col: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss and its gradient, summed over n rows of each set of features, these one after another; the bias is the last weight."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.bincount(row, x[col], len(sizes)) + x[-1]
+    d = n * (0.5 + 0.5 * np.tanh(z / 2) - y)
+    g = np.bincount(col, d[row], len(x)).astype("f8")
+    g[-1] = d.sum()
+    return float((n * (np.logaddexp(0, z) - y * z)).sum()), g
+
+
+def minimise(sums: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rows: int) -> np.ndarray:
+    """L-BFGS on the mean loss with L2 on all but the bias."""
+
+    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = sums(x)
+        w = np.append(x[:-1], 0.0)
+        return loss / rows + L2 / 2 * float(w @ w), g / rows + L2 * w
+
+    loss, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        way, kept = -g, []
+        for s, y in reversed(past):
+            kept.append(float(s @ way) / float(s @ y))
+            way = way - kept[-1] * y
+        if past:
+            s, y = past[-1]
+            way = way * (float(s @ y) / float(y @ y))
+        elif g.any():
+            way = way / np.linalg.norm(g)
+        for (s, y), a in zip(past, reversed(kept)):
+            way = way + (a - float(y @ way) / float(s @ y)) * s
+        step, down = 1.0, float(g @ way)
+        while True:
+            new_loss, new_g = f(x + step * way)
+            if new_loss <= loss + 1e-4 * step * down or step < 1e-6:
+                break
+            step /= 4
+        if new_loss >= loss:
+            return x
+        s, y = step * way, new_g - g
+        if float(s @ y) > 1e-12 * float(y @ y):
+            past = [*past[-9:], (s, y)]
+        done = loss - new_loss <= GAIN * loss
+        x, loss, g = x + s, new_loss, new_g
+        if done:
+            break
+    return x
+
+
+def with_weights(model: dict, sums: Callable[[np.ndarray], tuple[float, np.ndarray]], rows: int) -> dict:
+    x = minimise(sums, np.append(np.zeros(len(model["weights"])), model["bias"]), rows)
+    return model | {"weights": dict(zip(model["weights"], x[:-1].tolist())), "bias": float(x[-1])}
+
+
 def fit(rows: Iterable[tuple[str | None, int]]) -> dict:
-    """Character model and word weights from (text, label) pairs."""
-    token_at: dict[str, int] = {}
-    docs: list[np.ndarray] = []
-    labels: list[int] = []
+    """Character model and word weights from (text, label) pairs, in one process."""
+    rows = list(rows)
+    if not rows:
+        return NOTHING
+    counts = Counts()
     for text, y in rows:
-        docs.append(np.array([token_at.setdefault(t, len(token_at)) for t in tokens_of(text)], np.int32))
-        labels.append(y)
-    y = np.array(labels, "f8")
-    if not len(y):
-        return {"words": {}, "weights": {}, "bias": None}
-    seen = np.bincount(np.concatenate(docs), minlength=len(token_at))
-    words: Counter = Counter()
-    for t, i in token_at.items():
-        w = None if " " in t else plain(t)
-        if w and w.isalpha():
-            words[w] += int(seen[i])
-    letters = Letters(words)
-    feature_at: dict[str, int] = {}
-    owned = []  # features of each token
-    for t in token_at:
-        own = {f for word in restore(t, letters) for f in features_of(word)}
-        owned.append(np.array([feature_at.setdefault(f, len(feature_at)) for f in sorted(own)], np.int32))
-    letters.memo.clear()
-    token_at.clear()
-    docs = [np.unique(np.concatenate([owned[i] for i in d])) if len(d) else d for d in docs]
-    df = np.bincount(np.concatenate(docs), minlength=len(feature_at))
-    pos = np.bincount(np.concatenate([d[: len(d) * bool(l)] for d, l in zip(docs, labels)]), minlength=len(feature_at))
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    lift = {f: evidence(int(pos[i]), int(df[i]), rate) for f, i in feature_at.items() if df[i] >= MIN_DOCS}
+        counts.add(text, y)
+    words = {w: n for w, n in counts.seen.items() if w[0] != " "}
+    grams, total = sequences(words.items()), sum(math.log1p(n) for n in words.values())
+    rate = rate_of(counts.toxic, counts.rows)
+    found = features_by(((w, n, counts.bad[w]) for w, n in counts.seen.items()), Letters(words, grams, total))
+    lift = {f: evidence(k, n, rate) for f, (n, k) in found.items() if n >= MIN_DOCS}
     chosen = sorted((f for f, x in lift.items() if x >= EVIDENCE), key=lambda f: (-lift[f], f))[:FEATURES]
-    at = {f: i for i, f in enumerate(chosen)}
-    place = np.full(len(feature_at), -1, np.int64)
-    place[[feature_at[f] for f in chosen]] = np.arange(len(chosen))
-    ids = [p[p >= 0] for p in (place[d] for d in docs)]
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    col = np.concatenate(ids)
-    w, b = np.zeros(len(chosen)), math.log(rate / (1 - rate))
-    mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, 601):
-        z = np.bincount(row, w[col], len(y)) + b if len(col) else np.full(len(y), b)
-        d = (1 / (1 + np.exp(-z)) - y) / len(y)
-        g = (np.bincount(col, d[row], len(w)) if len(col) else np.zeros_like(w)) + 3e-6 * w
-        mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * d.sum(), 0.99 * vb + 0.01 * d.sum() ** 2
-        f = 0.1 * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        w, b = w - f * mw / (np.sqrt(vw) + 1e-9), b - f * mb / (math.sqrt(vb) + 1e-9)
-    return {"words": dict(words), "weights": {t: float(w[i]) for t, i in at.items()}, "bias": float(b)}
+    model = unfitted(words, grams, total, [(f, found[f][1] > rate * found[f][0]) for f in chosen], math.log(rate / (1 - rate)))
+    scorer = Scorer(model)
+    sets = Counter((scorer.ids(text), y) for text, y in rows)
+    sizes, col = np.array([len(i) for i, _ in sets]), np.array([i for own, _ in sets for i in own], np.int64)
+    y, n = np.array([y for _, y in sets], "f8"), np.array(list(sets.values()), "f8")
+    return with_weights(model, lambda x: slopes(x, sizes, col, y, n), len(rows))
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.letters = Letters(model["words"])
+        self.letters = Letters(model["words"], model["grams"], model["total"])
         self.names = list(model["weights"])
         self.at = {w: i for i, w in enumerate(self.names)}
         self.weights = list(model["weights"].values())
         self.bias = model["bias"]
         self.squeezed = {squeezed(w): i for w, i in reversed(self.at.items()) if not w.endswith("*")}
         self.starts = {w.rstrip("*")[: STEMS[0]] for w in self.at}
-        self.squeezed_starts = {w[:2] for w in self.squeezed}
-        self.telling = {w for w, x in zip(self.names, self.weights) if x > 0 and len(w) >= STEMS[0] and not w.endswith("*")}
-        self.inner = {w[: STEMS[0]] for w in self.telling}
+        self.inner: dict[str, list[str]] = {}
+        for w in model["telling"]:
+            if len(w) >= STEMS[0] and not w.endswith("*"):
+                self.inner.setdefault(w[: STEMS[0]], []).append(w)
         self.seen: set[str] = set()
         self.seen_chars = 0
         self.useful: dict[str, tuple[int, ...]] = {}
@@ -308,24 +398,30 @@ class Scorer:
     def holds(self, word: str) -> bool:
         """Whether a telling word stands inside."""
         n = STEMS[0]
-        return any(word[i : i + n] in self.inner and any(word.startswith(w, i) for w in self.telling) for i in range(len(word) - n + 1))
+        for i in range(len(word) - n + 1):
+            some = self.inner.get(word[i : i + n])
+            if some and any(word.startswith(w, i) for w in some):
+                return True
+        return False
 
     def features(self, token: str) -> tuple[int, ...]:
-        words = restore(token, self.letters)
-        for word in [w for w in words if w not in self.letters.words and w.isalpha() and self.holds(w)]:
+        words, known = restore(token, self.letters), self.letters.words
+        if not self.at:
+            return ()
+        for word in [w for w in words if w not in known and w.isalpha() and self.holds(w)]:
             words = words + self.letters.segment(word)
         out: set[int] = set()
         for word in words:
             found = [self.at[f] for f in features_of(word) if f in self.at] if word[: STEMS[0]] in self.starts else []
-            one = squeezed(word)
-            if not found and one[:2] in self.squeezed_starts and one in self.squeezed and word not in self.letters.words:
-                found = [self.squeezed[one]]
+            if not found and word not in known:
+                one = squeezed(word)
+                if one in self.squeezed:
+                    found = [self.squeezed[one]]
             out.update(found)
-        return tuple(sorted(out))
+        return tuple(sorted(out)) if out else ()
 
-    def score(self, text: str | None) -> float:
-        if self.bias is None:
-            return 0.0
+    def ids(self, text: str | None) -> tuple[int, ...]:
+        """The features of a text, as places in the list of weights."""
         tokens = tokens_of(text)
         for t in tokens - self.seen:
             found = self.features(t)
@@ -333,33 +429,147 @@ class Scorer:
                 self.useful[t] = found
         self.seen_chars += sum(map(len, tokens - self.seen))
         self.seen |= tokens
-        own = {i for t in self.useful.keys() & tokens for i in self.useful[t]}
+        own = tuple(sorted({i for t in self.useful.keys() & tokens for i in self.useful[t]}))
         if len(self.seen) > CACHE or self.seen_chars > CACHE_CHARS:
             self.seen, self.useful, self.seen_chars = set(), {}, 0
-        z = self.bias + sum(self.weights[i] for i in sorted(own))
+        return own
+
+    def score(self, text: str | None) -> float:
+        if self.bias is None:
+            return 0.0
+        z = self.bias + sum(self.weights[i] for i in self.ids(text))
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLD_OUT == 0
-    rows = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out)
-        .join(docs.select("doc_id"), "doc_id", "left_semi")  # a label without a document takes no place
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("turn"))
-        .orderBy("turn", "doc_id")
-        .limit(sample_rows)
-    )
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most sample_rows narrow rows
+def counted(rows: DataFrame) -> DataFrame:
+    """(key, n, bad) over (text, toxic): the documents that hold a word or token, and the toxic ones; all of them under a null key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
 
-    def bounded() -> Iterator[tuple[str | None, int]]:
-        total = 0
-        for r in texts.select("turn", "doc_id", "text", "toxic").orderBy("turn", "doc_id").toLocalIterator():
-            total += len(r.text or "")
-            yield r.text, r.toxic
-            if total > sample_chars:
-                return
+        def out() -> pa.RecordBatch:
+            keys = list(counts.seen)
+            n, bad = [counts.seen[k] for k in keys], [counts.bad[k] for k in keys]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*keys, None], pa.string()), pa.array([*n, counts.rows], pa.int64()), pa.array([*bad, counts.toxic], pa.int64())], names=["key", "n", "bad"]
+            )
 
-    return fit(bounded())
+        for batch in batches:
+            for part in slices(batch):
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    counts.add(text, y)
+                if len(counts.key) > CACHE or counts.chars > CACHE_CHARS:
+                    yield out()
+                    counts = Counts()
+        if counts.rows:
+            yield out()
+
+    sums = rows.mapInArrow(run, "key string, n bigint, bad bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    folder = shared_dir(rows.sparkSession)
+    sums.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def summed(pairs: DataFrame, names: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], kind: str) -> DataFrame:
+    """What tasks give as tables of one key to numbers, summed by the key."""
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in run(batches):
+            columns = list(zip(*found.values())) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())] + [pa.array(c) for c in columns], names=["f", *names])
+
+    df = pairs.mapInArrow(arrow, "f string, " + ", ".join(f"{x} {kind}" for x in names))
+    return df.groupBy("f").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def chosen_from(rows: DataFrame) -> tuple[dict, int]:
+    """The model of (text, toxic) but for its weights, and the number of rows."""
+    spark = rows.sparkSession
+    counts = counted(rows)
+    whole = counts.filter("key IS NULL").first()
+    if whole is None:
+        return NOTHING, 0
+    rate = rate_of(whole["bad"], whole["n"])
+    held = counts.filter("key IS NOT NULL")
+    words = held.filter("NOT startswith(key, ' ')").select("key", "n")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            found = sequences(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            yield {k: (x,) for k, x in found.items()}
+
+    grams = {r.f: r.x for r in summed(words, ["x"], runs, "double").orderBy(F.desc("x"), "f").limit(GRAMS).collect()}
+    total = words.agg(F.coalesce(F.sum(F.log1p("n")), F.lit(0.0))).first()[0]
+    known = {r.key: r.n for r in words.orderBy(F.desc("n"), "key").limit(WORDS).toLocalIterator()}
+    shipped = spark.sparkContext.broadcast(unfitted(known, grams, total, [], 0.0))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        letters = Scorer(shipped.value).letters
+        for batch in batches:
+            yield features_by(zip(*(c.to_pylist() for c in batch.columns)), letters)
+
+    n, k = F.col("n"), F.col("bad")
+    part = lambda c, p: F.when(c > 0, c * F.log(c / n / p)).otherwise(0.0)
+    found = summed(held.select("key", "n", "bad"), ["n", "bad"], features, "bigint").filter(n >= MIN_DOCS)
+    lift = found.withColumn("lift", part(k, rate) + part(n - k, 1 - rate)).filter(F.col("lift") >= EVIDENCE)
+    chosen = [(r.f, r.bad > rate * r.n) for r in lift.orderBy(F.desc("lift"), "f").limit(FEATURES).collect()]
+    shipped.destroy()
+    return unfitted(known, grams, total, chosen, math.log(rate / (1 - rate))), whole["n"]
+
+
+def feature_sets(docs: DataFrame, model: dict) -> DataFrame:
+    """(id, ids) for each document row: the features its text has."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    df = docs.select("doc_id", "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shipped.value)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [scorer.ids(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return df.mapInArrow(scan, f"doc_id {df.schema[0].dataType.simpleString()}, ids array<int>")
+
+
+def weighed(sets: DataFrame, own: DataFrame, model: dict, rows: int) -> dict:
+    """The model with weights fitted on the labelled of the given feature sets; every step sums over all of them."""
+    equal = cut(sets.join(own, "doc_id").groupBy("ids", "toxic").agg(F.count("*").cast("double").alias("n")))
+
+    def sums(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, g = 0.0, np.zeros(len(x))
+            for batch in batches:
+                ids = batch.column(0)
+                some = slopes(x, pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                loss, g = loss + some[0], g + some[1]
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([g.tobytes()], pa.binary())], names=["loss", "g"])
+
+        loss, g = 0.0, np.zeros(len(x))
+        for r in equal.mapInArrow(run, "loss double, g binary").collect():  # one row for each task
+            loss, g = loss + r.loss, g + np.frombuffer(r.g)
+        return loss, g
+
+    return with_weights(model, sums, rows)
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may teach."""
+    own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held(F.col("doc_id")))
+    return own.select("doc_id", (F.col("toxic").cast("int") != 0).cast("int").alias("toxic"))
+
+
+def is_held(id_col: F.Column) -> F.Column:
+    return F.crc32(id_col.cast("string").cast("binary")) % HOLD_OUT == 0
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model fitted on all labelled documents that are not held out."""
+    own = labelled(labels)
+    model, rows = chosen_from(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"))
+    if not rows:
+        return model
+    return weighed(feature_sets(docs.filter(~is_held(F.col("doc_id"))), model), own, model, rows)
 
 
 def score_toxicity(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,11 +600,29 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, te
     return docs.mapInArrow(keep, docs.schema)
 
 
+def scored_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) as of score_toxicity with train, but every text is searched for features once for both."""
+    own = labelled(labels)
+    model, rows = chosen_from(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"))
+    if not rows:
+        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    sets = cut(feature_sets(docs, model))
+    model = weighed(sets, own, model, rows)
+    weights, bias = np.array(list(model["weights"].values())), model["bias"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy())
+            z = np.bincount(row, weights[ids.flatten().to_numpy()], batch.num_rows) + bias
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(0.5 + 0.5 * np.tanh(z / 2))], names=["doc_id", "score"])
+
+    return sets.mapInArrow(run, f"doc_id {sets.schema[0].dataType.simpleString()}, score double")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLD_OUT == 0
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = scored_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(is_held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def is_held_out(doc_id: object) -> bool:
