@@ -367,6 +367,17 @@ def test_lm_of_nothing(spark):
     assert model.total == 0 and all(r.score < 0 for r in lm.score(documents(spark, ["a b", None]), model, counts).collect())
 
 
+def test_lm_changes_of_few_tasks_are_shuffled_once(spark):
+    r = np.random.default_rng(3)
+    rows = [(k % 2, r.integers(1, 5, 4).astype("f4").tobytes(), r.normal(size=(4, lm.GROUPS)).astype(np.float16).tobytes()) for k in range(6)]
+    changes = spark.createDataFrame(rows, lm.CHANGES)
+    once, twice = lm.added_up(changes, lm.MOST_ADDED), lm.added_up(changes, lm.MOST_ADDED + 1)
+    shuffles = [d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for d in (once, twice)]
+    assert shuffles == [1, 2]
+    for a, b in zip(once.orderBy("block").collect(), twice.orderBy("block").collect()):
+        assert a.met == b.met and np.allclose(np.frombuffer(a.change, np.float16), np.frombuffer(b.change, np.float16), atol=1e-2)
+
+
 # media
 
 

@@ -57,6 +57,9 @@ RATE, DAMP = 0.6, 4.0
 BATCH = 20_000
 BLOCK = 4096
 TASKS_A_CORE = 4
+#: Changes of a block that one task adds.
+MOST_ADDED = 64
+CHANGES = "block int, met binary, change binary"
 HELD_OUT, FOLDS = 2, 7
 
 
@@ -237,11 +240,29 @@ def learn(weights: np.ndarray, met: np.ndarray, bias: tuple, tables: Tables, tok
                 weights[level][row[start[~once]]] -= (RATE / (many + DAMP)).astype("f4")[:, None] * sums
 
 
+def added_up(changes: DataFrame, tasks: int) -> DataFrame:
+    """One row for each block: its changes' mean; in two steps only where more tasks give changes than one can add."""
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, total = 0.0, 0.0
+        for met, change in zip(pdf["met"], pdf["change"]):
+            own = np.frombuffer(met, "f4")
+            n, total = n + own, total + own[:, None] * np.frombuffer(change, np.float16).reshape(-1, GROUPS).astype("f4")
+        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float16)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "met": [n.astype("f4").tobytes()], "change": [mean.tobytes()]})
+
+    if tasks > MOST_ADDED:
+        salt = F.pmod(F.spark_partition_id(), F.lit(MOST_ADDED))
+        changes = changes.withColumn("salt", salt).groupBy("block", "salt").applyInPandas(added, CHANGES)
+    return changes.groupBy("block").applyInPandas(added, CHANGES)
+
+
 def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.ndarray:
     """Weights after every task's steps over its documents: each row by its mean change, weighted by how often it was met."""
     context = docs.sparkSession.sparkContext
     shipped = context.broadcast(weights)
-    docs = docs.coalesce(TASKS_A_CORE * context.defaultParallelism)  # a task's changes are as large as the weights, however few its documents
+    tasks = TASKS_A_CORE * context.defaultParallelism
+    docs = docs.coalesce(tasks)  # a task's changes are as large as the weights, however few its documents
     cuts = range(0, weights.shape[0] * weights.shape[1], BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,19 +300,8 @@ def train_round(docs: DataFrame, model: Broadcast, weights: np.ndarray) -> np.nd
                 names=["block", "met", "change"],
             )
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, total = 0.0, 0.0
-        for met, change in zip(pdf["met"], pdf["change"]):
-            own = np.frombuffer(met, "f4")
-            n, total = n + own, total + own[:, None] * np.frombuffer(change, np.float16).reshape(-1, GROUPS).astype("f4")
-        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float16)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "met": [n.astype("f4").tobytes()], "change": [mean.tobytes()]})
-
-    ddl = "block int, met binary, change binary"
-    changes = docs.mapInArrow(run, ddl).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = changes.groupBy("block", "salt").applyInPandas(added, ddl)  # at most 64 rows of a block go on
     out = weights.copy().reshape(-1, GROUPS)
-    for r in some.groupBy("block").applyInPandas(added, ddl).toLocalIterator():  # half as large as the weights
+    for r in added_up(docs.mapInArrow(run, CHANGES), tasks).toLocalIterator():  # half as large as the weights
         change = np.frombuffer(r.change, np.float16).reshape(-1, GROUPS)
         out[r.block * BLOCK : r.block * BLOCK + len(change)] += change
     shipped.destroy()
