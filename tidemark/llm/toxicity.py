@@ -254,7 +254,7 @@ def squeezed(word: str) -> str:
 
 
 class Counts:
-    """Of how many documents, and toxic ones, hold a word or, after a space, a token that has to be restored."""
+    """How many documents, and toxic ones, hold a word, a beginning of words (with a star) or, after a space, a token that has to be restored."""
 
     def __init__(self) -> None:
         self.rows = self.toxic = self.chars = 0
@@ -271,6 +271,7 @@ class Counts:
             self.key[t] = w if w and w.isalpha() else " " + t
             self.chars += len(t)
         keys = set(map(self.key.__getitem__, tokens))
+        keys.update([w[:k] + "*" for w in keys if w[0] != " " for k in STEMS if len(w) > k])  # once a document, like words
         self.seen.update(keys)
         if y:
             self.bad.update(keys)
@@ -282,7 +283,7 @@ def features_by(words: Iterable[tuple[str, int, int]], letters: Letters) -> dict
     """For every feature of counted words and tokens, how often documents and toxic ones hold one of these."""
     out: dict[str, list[int]] = {}
     for key, n, bad in words:
-        for f in {f for word in (restore(key[1:], letters) if key[0] == " " else [key]) for f in features_of(word)}:
+        for f in {f for word in restore(key[1:], letters) for f in features_of(word)} if key[0] == " " else [key]:
             both = out.setdefault(f, [0, 0])
             both[0] += n
             both[1] += bad
@@ -364,7 +365,7 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> dict:
     counts = Counts()
     for text, y in rows:
         counts.add(text, y)
-    words = {w: n for w, n in counts.seen.items() if w[0] != " "}
+    words = {w: n for w, n in counts.seen.items() if w[0] != " " and w[-1] != "*"}
     grams, total = sequences(words.items()), sum(math.log1p(n) for n in words.values())
     rate = rate_of(counts.toxic, counts.rows)
     found = features_by(((w, n, counts.bad[w]) for w, n in counts.seen.items()), Letters(words, grams, total))
@@ -491,7 +492,7 @@ def chosen_from(rows: DataFrame) -> tuple[dict, int]:
         return NOTHING, 0
     rate = rate_of(whole["bad"], whole["n"])
     held = counts.filter("key IS NOT NULL")
-    words = held.filter("NOT startswith(key, ' ')").select("key", "n")
+    words = held.filter("NOT startswith(key, ' ') AND NOT endswith(key, '*')").select("key", "n")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
