@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html, packing, secrets, toxicity
 from tidemark.llm.common import alnum_words, space_words
@@ -630,6 +631,23 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert {r.doc_id: r.score for r in toxicity.scored_sets(docs, labels).collect()} == pytest.approx(alone)
 
 
+def test_toxicity_texts_are_not_shuffled_to_their_labels(spark, monkeypatch):
+    rows = list(toxic_rows(300))
+    docs = documents(spark, [t for t, _ in rows] + ODD).unionByName(documents(spark, ["a river", None], 7))
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    marks = [(k, y) for k, (_, y) in enumerate(rows) if k % 3 != 1] + [(6, 0), (6, 1), (None, 1), (9, None), (-1, 1), (10**9, 1)]
+    own = toxicity.labelled(spark.createDataFrame(marks, "doc_id int, toxic int"))
+    monkeypatch.setattr(toxicity, "CACHE", 50)
+    sums = lambda: {r.key: (r.n, r.bad) for r in toxicity.counted(docs, own).collect()}
+    plan = lambda: toxicity.partly_counted(docs, own)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|Exchange", plan())
+    alone = sums()
+    monkeypatch.setattr(toxicity, "LABELS", 10)
+    assert "Join" in plan() and sums() == alone and alone[None][0] > 100
+    as_text = toxicity.counted(docs.withColumn("doc_id", F.col("doc_id").cast("string")), own.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert {r.key: (r.n, r.bad) for r in as_text.collect()} == alone
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     docs = documents(spark, ODD)

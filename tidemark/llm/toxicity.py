@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import crc_mod, cut, shared_dir, slices, table
 
@@ -47,6 +48,8 @@ HOLD_OUT = 5
 #: L2 of the logistic model, most steps of its fit and the relative gain that ends it.
 L2, STEPS, GAIN = 3e-6, 50, 1e-4
 CACHE, CACHE_CHARS = 600_000, 20_000_000
+#: So many labels go to every task, nine bytes each; with more, or where ids are no integers, texts are shuffled to their labels.
+LABELS = 8_000_000
 
 #: Characters and the letters they imitate.
 LEET = {
@@ -442,8 +445,49 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(key, n, bad) over (text, toxic): the documents that hold a word or token, and the toxic ones; all of them under a null key."""
+class Marks:
+    """Labels in order of their ids, repeated ones too."""
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.toxic = ids[order], toxic[order].astype(np.int8)
+
+    def at(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the labels of each id begin and how many there are."""
+        own = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        first = np.searchsorted(self.ids, own)
+        return first, np.where(pc.is_valid(ids).to_numpy(zero_copy_only=False), np.searchsorted(self.ids, own, "right") - first, 0)
+
+
+def marks_of(own: DataFrame) -> Marks | None:
+    """The labels (doc_id, toxic), unless they are too many or their ids no integers."""
+    if not isinstance(own.schema["doc_id"].dataType, IntegralType) or own.count() > LABELS:
+        return None
+    found = own.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("tinyint")).toArrow().combine_chunks()
+    return Marks(*(np.asarray(c) for c in found.columns))
+
+
+def partly_counted(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, n, bad) of parts of the documents, once for each label (doc_id, toxic) of a document, for ``counted`` to add up."""
+    integers = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    marks = marks_of(own) if integers else None
+    if marks is None:
+        rows, shipped = docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"), None
+    else:  # texts stay where they are read
+        rows = docs.filter(~is_held(F.col("doc_id"))).select(F.col("doc_id").cast("bigint"), "text")
+        shipped = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int]]:
+        if shipped is None:
+            for part in slices(batch):
+                yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+            return
+        first, n = shipped.value.at(batch.column(0))
+        some = pa.RecordBatch.from_arrays([batch.column(1), pa.array(first), pa.array(n)], names=["text", "first", "n"]).filter(pa.array(n > 0))
+        for part in slices(some):
+            for text, at, k in zip(*(c.to_pylist() for c in part.columns)):
+                for y in shipped.value.toxic[at : at + k].tolist():
+                    yield text, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
@@ -456,19 +500,23 @@ def counted(rows: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for part in slices(batch):
-                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    counts.add(text, y)
+            for text, y in pairs(batch):
+                counts.add(text, y)
                 if len(counts.key) > CACHE or counts.chars > CACHE_CHARS:
                     yield out()
                     counts = Counts()
         if counts.rows:
             yield out()
 
-    sums = rows.mapInArrow(run, "key string, n bigint, bad bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    folder = shared_dir(rows.sparkSession)
+    return rows.mapInArrow(run, "key string, n bigint, bad bigint")
+
+
+def counted(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, n, bad): the labelled documents that hold a word or token, and the toxic ones; all of them under a null key."""
+    sums = partly_counted(docs, own).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    folder = shared_dir(docs.sparkSession)
     sums.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
 
 
 def summed(pairs: DataFrame, names: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], kind: str) -> DataFrame:
@@ -483,10 +531,10 @@ def summed(pairs: DataFrame, names: list[str], run: Callable[[Iterator[pa.Record
     return df.groupBy("f").agg(*[F.sum(x).alias(x) for x in names])
 
 
-def chosen_from(rows: DataFrame) -> tuple[dict, int]:
-    """The model of (text, toxic) but for its weights, and the number of rows."""
-    spark = rows.sparkSession
-    counts = counted(rows)
+def chosen_from(docs: DataFrame, own: DataFrame) -> tuple[dict, int]:
+    """The model of documents and their labels (doc_id, toxic) but for its weights, and the number of pairs of these."""
+    spark = docs.sparkSession
+    counts = counted(docs, own)
     whole = counts.filter("key IS NULL").first()
     if whole is None:
         return NOTHING, 0
@@ -567,7 +615,7 @@ def is_held(id_col: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model fitted on all labelled documents that are not held out."""
     own = labelled(labels)
-    model, rows = chosen_from(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"))
+    model, rows = chosen_from(docs, own)
     if not rows:
         return model
     return weighed(feature_sets(docs.filter(~is_held(F.col("doc_id"))), model), own, model, rows)
@@ -604,7 +652,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, te
 def scored_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) as of score_toxicity with train, but every text is searched for features once for both."""
     own = labelled(labels)
-    model, rows = chosen_from(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"))
+    model, rows = chosen_from(docs, own)
     if not rows:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     sets = cut(feature_sets(docs, model))
