@@ -25,6 +25,19 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks_and_equal_those_of_many(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randrange(-900, 900), r.randrange(-900, 900)) for _ in range(700)] + [(k, k + 1) for k in range(2000, 2300)], "u bigint, v bigint")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        few = {(x.node, x.component) for x in components.connected_components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 10
+    monkeypatch.setattr(components, "FEW", 0)
+    assert {(x.node, x.component) for x in components.connected_components(edges).collect()} == few
+
+
 # Jaccard join
 
 
