@@ -374,6 +374,23 @@ def test_lm_beats_an_interpolated_bigram_on_held_out_documents(spark):
     assert found > best and found > base + 0.05
 
 
+def test_lm_rows_are_copied_and_not_indexed():
+    r = np.random.default_rng(4)
+    weights, bias = r.normal(size=(2, lm.TABLE, lm.GROUPS)).astype("f4"), (r.normal(size=16).astype("f4"), r.normal(size=(16, 16)).astype("f4"))
+    before, group = [r.integers(1000, size=lm.BATCH) for _ in range(lm.BEFORE)], r.integers(16, size=lm.BATCH)
+
+    class Rows(np.ndarray):
+        def __getitem__(self, at):
+            assert not isinstance(at, np.ndarray)  # twice the time of take
+            return super().__getitem__(at)
+
+    for level, (z, rows) in enumerate(lm.logits(weights.view(Rows), bias, before, group)):
+        plain = weights[level][rows[0]] + (bias[0] if level == 0 else bias[1][group])
+        for x in rows[1:]:
+            plain += weights[level][x]
+        assert (z == plain).all() and (lm.largest(z) == plain.max(1, keepdims=True)).all()
+
+
 def test_lm_of_nothing(spark):
     model, counts = lm.train(empty(spark))
     assert lm.score(empty(spark), model, counts).count() == 0
